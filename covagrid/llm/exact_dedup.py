@@ -117,8 +117,10 @@ def exact_dedup(docs: DataFrame, prime: int = PRIME, huge_bytes: int = 1 << 23,
     prints = raw.filter("piece is null").select(whole).unionByName(_joined_pieces(raw.filter("piece is not null"), prime).select(whole))
     prints = cut(prints.withColumn("row_no", F.monotonically_increasing_id()), "rows")
     groups = prints.groupBy("print", "norm_bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    groups = cut(groups, "groups")  # a join with a table, not with the aggregate itself, can split a hot group
     bad = cut(_collisions(docs, prints.join(groups, ["print", "norm_bytes"]), chunk), "collisions").withColumn("split", F.lit(True))
     classed = prints.join(bad, ["print", "norm_bytes"], "left").withColumn("class", F.when(F.col("split"), F.concat("print", F.encode("text_sha256", "UTF-8"))).otherwise(F.col("print")))
     order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_no").alias("row_no"))
     best = classed.groupBy("class", "norm_bytes").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = cut(best, "best")
     return classed.join(best, ["class", "norm_bytes"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256")
