@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from covagrid.llm.common import table
+from covagrid.llm.decontaminate import benchmark_matches
 from covagrid.llm.exact_dedup import exact_dedup
+from covagrid.llm.packing import pack_documents
 from covagrid.llm.simhash import simhash_groups
+from covagrid.llm.url_filter import url_verdicts
+from covagrid.llm.warc import warc_round_trip
+
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +43,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH rules(rule, rule_verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), split AS (SELECT rule, rule_verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, length(split_part(rule, '/', 1)) + 1) AS rule_path FROM rules),
+best AS (
+  SELECT p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
+  FROM (SELECT DISTINCT host, path FROM parts) p JOIN split s ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)
+  GROUP BY p.host, p.path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+"""
+
+OP7_SQL = r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, min(page_id) AS first_page FROM t GROUP BY digest),
+names AS (
+  SELECT digest, first_page, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(digest, (10 * (i // 8) + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest FROM g
+)
+SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM t JOIN names USING (digest)
+"""
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
@@ -32,8 +87,8 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup, "op10_simhash": op10_simhash}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op7_warc, op8_exact_dedup, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
