@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -61,7 +60,7 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(pc.cast(column, kind), b"").to_pylist()
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,14 +71,10 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def small_enough(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the optimizer's size estimate of `df` is within `limit_bytes`."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit_bytes
+def keep_rows(df: DataFrame, mask: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of `df`, all columns, for which `mask` of the text column says so."""
 
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(mask(batch.column("text")), pa.bool_()))
 
-def null_safe(left: DataFrame, right: DataFrame, *names: str):
-    """Join condition under which nulls equal nulls."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    return map_batches(df, each, df.schema)

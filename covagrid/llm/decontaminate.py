@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covagrid.llm.common import keep_rows, map_batches
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
@@ -57,7 +59,6 @@ class Index:
     """The q-grams of a block of items."""
 
     q: int
-    ids: np.ndarray
     texts: list[str]
     budgets: np.ndarray
     needed: np.ndarray
@@ -82,7 +83,7 @@ def build_index(items: list[tuple[int, str]], q: int, share: float) -> Index:
     grams, starts = np.unique(flat[order], return_index=True)
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[_slot(grams)] = True
-    return Index(q, np.array([-1 if i is None else i for i, _ in items]), texts, budgets, lengths - q + 1 - q * budgets, grams, np.append(starts, len(flat)), item, place, bits, [k for k, t in enumerate(texts) if 0 < len(t) < q])
+    return Index(q, texts, budgets, lengths - q + 1 - q * budgets, grams, np.append(starts, len(flat)), item, place, bits, [k for k, t in enumerate(texts) if 0 < len(t) < q])
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, fixed: bool = False) -> tuple[int, int] | None:
@@ -180,6 +181,29 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]
 
 
 MATCHES = "doc_id long, item_id long, edits int, start long, end long"
+_GROUP_CHARS = 500_000
+
+
+def _grouped(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, normal texts) of runs of about `_GROUP_CHARS` characters."""
+    held, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        held.append(normal(text))
+        size += len(held[-1])
+        if size > _GROUP_CHARS or k == len(texts) - 1:
+            yield first, held
+            held, first, size = [], k + 1, 0
+
+
+def _blocks(benchmark: DataFrame, q: int, share: float, block_chars: int) -> Iterator[tuple]:
+    """Broadcast indexes of blocks of items; a block is bounded by `block_chars` and its longest item."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-total // block_chars) or 1
+    for block in range(blocks):
+        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        some = sorted(((r[0], r[1]) for r in some), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index(some, q, share)), [i for i, _ in some]
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, share: float = 0.1, block_chars: int = 1 << 22) -> DataFrame:
@@ -191,45 +215,32 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, share:
     every task, and each block reads all documents. Null and empty texts hold nothing; null doc_ids and repeated rows
     give rows of their own; of rows that repeat an item_id each counts. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-total // block_chars) or 1
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     out = None
-    for block in range(blocks):
-        some = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        sent = spark.sparkContext.broadcast(build_index(sorted(some, key=lambda x: (x[0] is None, x)), q, share))
-        null_ids = {k for k, x in enumerate(sorted(some, key=lambda x: (x[0] is None, x))) if x[0] is None}
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, null_ids=null_ids) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-
-            def found(held: list[str], ids: list) -> Iterator[pa.RecordBatch]:
-                hits = scan(held, index)
-                if hits:
-                    rows = [(ids[t], None if i in null_ids else int(index.ids[i]), e, s, x) for t, i, e, s, x in hits]
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
-
-            for batch in batches:
-                held, ids, size = [], [], 0
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    held.append(normal(text))
-                    ids.append(doc_id)
-                    size += len(held[-1])
-                    if size > 500_000:
-                        yield from found(held, ids)
-                        held, ids, size = [], [], 0
-                if held:
-                    yield from found(held, ids)
-
-        part = texts.mapInArrow(run, MATCHES)
+    for sent, item_ids in _blocks(benchmark, q, share, block_chars):
+
+        def each(batch: pa.RecordBatch, sent=sent, item_ids=item_ids) -> Iterator[pa.RecordBatch]:
+            ids = batch.column("doc_id").to_pylist()
+            hits = [(ids[first + t], item_ids[i], *rest) for first, held in _grouped(batch.column("text").to_pylist()) for t, i, *rest in scan(held, sent.value)]
+            if hits:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*hits, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
+
+        part = map_batches(texts, each, MATCHES)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of `docs` (all their columns) without those that hold a benchmark item."""
-    bad = benchmark_matches(docs, benchmark, **settings).select(F.col("doc_id").alias("held_by")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["held_by"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, share: float = 0.1, block_chars: int = 1 << 22) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no benchmark item by the rules of `benchmark_matches`."""
+    for sent, _ in _blocks(benchmark, q, share, block_chars):
+
+        def clean(texts: pa.Array, sent=sent) -> list[bool]:
+            ok = [True] * len(texts)
+            for first, held in _grouped(texts.to_pylist()):
+                for hit in scan(held, sent.value):
+                    ok[first + hit[0]] = False
+            return ok
+
+        docs = keep_rows(docs, clean)
+    return docs

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from covagrid.llm.common import table
 from covagrid.llm.decontaminate import benchmark_matches
 from covagrid.llm.exact_dedup import exact_dedup
+from covagrid.llm.html_extract import main_texts
+from covagrid.llm.license_scan import license_notices
+from covagrid.llm.line_dedup import dedup_lines
 from covagrid.llm.packing import pack_documents
+from covagrid.llm.quality import quality_scores
 from covagrid.llm.simhash import simhash_groups
 from covagrid.llm.url_filter import url_verdicts
 from covagrid.llm.warc import warc_round_trip
@@ -31,6 +35,22 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="lines_removed")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -62,6 +82,22 @@ best AS (
 SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS body FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3)),
+f AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER o AS first_doc, first_value(pos) OVER o AS first_pos
+  FROM w WHERE trim(body, ' ' || chr(10)) <> '' WINDOW o AS (PARTITION BY body ORDER BY doc_id, pos)
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_doc = doc_id THEN greatest(pos, first_pos + 3) ELSE pos END, pos + 3)) AS pos
+  FROM f WHERE first_doc <> doc_id OR first_pos <> pos
+), k AS (
+  SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.pos) FILTER (WHERE c.pos IS NULL) AS text, count(c.pos)::INTEGER AS lines_removed
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM l) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.pos = x.pos GROUP BY x.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 OP7_SQL = r"""
 WITH t AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
 g AS (SELECT digest, min(page_id) AS first_page FROM t GROUP BY digest),
@@ -87,8 +123,8 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op7_warc, op8_exact_dedup, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_quality_classifier, op4_line_dedup, op5_html_extraction, op6_license_scan, op7_warc, op8_exact_dedup, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}

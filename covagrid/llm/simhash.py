@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covagrid.llm.common import byte_texts, cut, map_batches
 
@@ -46,14 +47,19 @@ def simhash(text: bytes, words: int = 4) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, words: int = 4, rows: bool = False) -> DataFrame:
+    """doc_id and print (the 64 bits as a signed long) of every row; rows: and the whole row as a struct."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         prints = np.array([simhash(x, words) for x in byte_texts(batch.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "print"])
+        carried = [batch.column(n) for n in names]
+        yield pa.RecordBatch.from_arrays([*carried, pa.array(prints)], [*names, "print"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, "doc_id long, print long")
+    names = ["doc_id", *["row"] * rows]
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * rows
+    texts = docs.select(F.col("doc_id").cast("long"), *whole, F.col("text").cast("string"))
+    schema = T.StructType([f for f in texts.schema.fields if f.name != "text"]).add("print", T.LongType())
+    return map_batches(texts, each, schema)
 
 
 @dataclass(frozen=True)
@@ -269,6 +275,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _roots(prints: DataFrame, anchors: Anchors, most: int) -> DataFrame:
+    """(print, root): the component of every distinct print."""
+    nodes = prints.select("print").distinct()
+    found = components(links(nodes, anchors, most))
+    return nodes.join(found, nodes["print"] == found["node"], "left").select("print", F.coalesce("root", "print").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors(), most: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of `docs` (doc_id, text).
 
@@ -278,8 +291,20 @@ def simhash_groups(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors()
     """
     prints = cut(fingerprints(docs, words), "prints")
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = components(links(nodes, anchors, most))
-    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    rooted = cut(nodes.join(_roots(prints, anchors, most), "print"), "roots")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("print", "component_id")
+    labels = cut(rooted.join(smallest, "root").select("print", "component_id"), "labels")
     return prints.join(labels, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_dedup(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors(), most: int = 4096) -> DataFrame:
+    """The rows of `docs`, all columns, that stay: of each component the one with the smallest doc_id.
+
+    Null doc_ids come last; of rows that tie one stays.
+    """
+    rows = cut(fingerprints(docs, words, rows=True).withColumn("row_no", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
+    first = rows.groupBy("print").agg(F.min(order).alias("first"))
+    rooted = first.join(_roots(rows, anchors, most), "print")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_no").alias("stays"))
+    return rows.join(cut(stay, "stay"), F.col("row_no") == F.col("stays"), "left_semi").select("row.*")
