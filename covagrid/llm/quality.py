@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,19 @@ STOP_WORDS = frozenset(
 )
 DIMENSIONS = 1 << 12
 _HELD_WORDS = 300_000
+#: So many words count half.
+EVIDENCE = 4
 
 
-def _vote(value: float, bad: bool, good: bool) -> int:
+def _vote(bad: bool, good: bool) -> int:
     return 2 if bad else 1 if good else 0
 
 
+def repeats(words: list[bytes]) -> float:
+    """The share of words that the next word repeats."""
+    return sum(map(eq, words, words[1:])) / len(words)
+
+
 def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     """One vote of each labeller: 0 none, 1 good, 2 bad. A text without words gets none."""
     n = len(words)
@@ -55,19 +63,21 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     stops = sum(map(STOP_WORDS.__contains__, words)) / n
     ragged = sum([w[-1] in SYMBOLS for w in words]) / n
     variety = len(set(words)) / n
+    stutter = repeats(words)
     return (
-        _vote(symbols, symbols > 0.1, symbols < 0.02),
-        _vote(capitals, capitals > 0.4 and letters > 20, capitals < 0.15),
-        _vote(shouts, shouts > 0.2, shouts < 0.02),
-        _vote(mean, mean > 12 or mean < 2, 3 <= mean <= 8),
-        _vote(ended, ended < 0.3 and len(lines) > 2, ended > 0.8),
-        _vote(stops, stops < 0.03 and n > 20, stops > 0.1),
-        _vote(ragged, ragged > 0.2, ragged < 0.02),
-        _vote(variety, variety < 0.25 and 50 < n < 2000, variety > 0.4),
+        _vote(symbols > 0.1, symbols < 0.02),
+        _vote(capitals > 0.4 and letters > 20, capitals < 0.15),
+        _vote(shouts > 0.2, shouts < 0.02),
+        _vote(mean > 12 or mean < 2, 3 <= mean <= 8),
+        _vote(ended < 0.3 and len(lines) > 2, ended > 0.8),
+        _vote(stops < 0.03 and n > 20, stops > 0.1),
+        _vote(ragged > 0.2, ragged < 0.02),
+        _vote(variety < 0.25 and 50 < n < 2000, variety > 0.4),
+        _vote(stutter > 0.15 and n > 5, stutter < 0.02),
     )
 
 
-LABELLERS = 8
+LABELLERS = 9
 _POWERS = 3 ** np.arange(LABELLERS)
 
 
@@ -99,21 +109,21 @@ _features = _Features()
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """How much of a text each slot has; words make one half, shapes the other."""
+    """How much of a text each slot has; words make one half, shapes the other, and repeats have the last slot."""
     slots = np.array([s for w in words for s in _features[w]], np.int64)
-    return np.bincount(slots, minlength=DIMENSIONS).astype(np.float32) / max(1, len(slots))
+    return np.append(np.bincount(slots, minlength=DIMENSIONS) / max(1, len(slots)), repeats(words)).astype(np.float32)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """P(good) of each vote pattern (rows of 0, 1, 2) by EM from the majority of votes.
+    """P(good) of each vote pattern (rows of 0, 1, 2) by EM from the votes against it.
 
     A pattern without a vote against it counts as good: where no bad text exists, EM has nothing to separate.
     """
     total = counts.sum()
     if not total:
         return np.ones(len(patterns))
-    against, favour = (patterns == 2).sum(axis=1), (patterns == 1).sum(axis=1)
-    good = 1 / (1 + np.exp(2.0 * against - favour))
+    against = (patterns == 2).sum(axis=1)
+    good = 1 / (1 + np.exp(2.5 * against - 1.5))  # kinds of bad text differ, and each shows in few labellers
     for _ in range(rounds):
         prior = (counts @ good + 1) / (total + 2)
         logs = np.zeros((2, len(patterns)))
@@ -132,7 +142,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
 
 def train(rows: np.ndarray, labels: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer by gradient steps; both classes weigh the same."""
-    weights, bias = np.zeros(DIMENSIONS, np.float32), 0.0
+    weights, bias = np.zeros(DIMENSIONS + 1, np.float32), 0.0
     good, bad = labels.sum(), (1 - labels).sum()
     if min(good, bad) < 1:  # one class only: nothing to learn
         return weights, 1.0 if good >= bad else -1.0
@@ -152,6 +162,7 @@ class Model:
     weights: np.ndarray
     bias: float
     posterior: dict[int, float]
+    prior: float
 
     def scores(self, texts: list[bytes]) -> tuple[list[float], list[float]]:
         """P(good) by the scorer and by the labellers' votes."""
@@ -167,7 +178,9 @@ class Model:
                 value[b""] = self
             for w in set(words) - value.keys():
                 value[w] = float(self.weights[_crc(w.lower())] + self.weights[_crc(shape(w))])
-            total = sum(map(value.__getitem__, words)) / (2 * len(words)) + self.bias
+            seen = sum(map(value.__getitem__, words)) / (2 * len(words)) + float(self.weights[-1]) * repeats(words) + self.bias
+            # classes weighed the same in training; a few words are little evidence against the share of good texts
+            total = self.prior + seen * len(words) / (len(words) + EVIDENCE)
             scores.append(1 / (1 + math.exp(-min(max(total, -40.0), 40.0))))
         return scores, beliefs
 
@@ -195,8 +208,10 @@ def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
     good = estimate(codes[:, None] // _POWERS % 3, np.array([counted[c] for c in codes.tolist()], float))
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     sample = sorted(seen.filter("features is not null").limit(2 * train_rows).collect())
-    rows = np.stack([np.frombuffer(r[1], "<f4") for r in sample]) if sample else np.zeros((0, DIMENSIONS), np.float32)
-    return Model(*train(rows, np.array([posterior[r[0]] for r in sample])), posterior)
+    rows = np.stack([np.frombuffer(r[1], "<f4") for r in sample]) if sample else np.zeros((0, DIMENSIONS + 1), np.float32)
+    n = sum(counted.values())
+    share = (sum(posterior[c] * k for c, k in counted.items()) + 1) / (n + 2)
+    return Model(*train(rows, np.array([posterior[r[0]] for r in sample])), posterior, math.log(share / (1 - share)))
 
 
 def quality_scores(docs: DataFrame, train_rows: int = 4096, threshold: float = 0.5) -> DataFrame:
