@@ -35,17 +35,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    return len(_made)
+def made() -> list[str]:
+    """The scratch tables of this process that nothing has deleted."""
+    return list(_made)
 
 
-def release(spark: SparkSession, upto: int) -> None:
-    """Delete the first `upto` scratch tables; only for callers that know nothing reads them any more."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; only for callers that know nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made[:upto]:
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-    del _made[:upto]
+        _made.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
