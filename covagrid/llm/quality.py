@@ -176,7 +176,7 @@ class Model:
             if value.get(b"") is not self or len(value) > _HELD_WORDS:
                 value.clear()
                 value[b""] = self
-            for w in set(words) - value.keys():
+            for w in [w for w in set(words) if w not in value]:
                 value[w] = float(self.weights[_crc(w.lower())] + self.weights[_crc(shape(w))])
             seen = sum(map(value.__getitem__, words)) / (2 * len(words)) + float(self.weights[-1]) * repeats(words) + self.bias
             # classes weighed the same in training; a few words are little evidence against the share of good texts
