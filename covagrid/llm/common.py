@@ -5,10 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -79,3 +84,36 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.Array], list[bool]]) -> DataFram
         yield batch.filter(pa.array(mask(batch.column("text")), pa.bool_()))
 
     return map_batches(df, each, df.schema)
+
+
+def keep_numbered(rows: DataFrame, numbers: DataFrame, tag: str) -> DataFrame:
+    """The rows of `rows` whose row_no is in `numbers`, without a shuffle of `rows`.
+
+    row_no comes from monotonically_increasing_id, so it rises within each task's part of a written table. The numbers
+    are sorted and written; a task then reads only the files whose range its own rows touch, by an index that has a
+    row for each file.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, tag)
+    numbers.select("row_no").repartitionByRange("row_no").sortWithinPartitions("row_no").write.parquet(path)
+    stored = spark.read.schema("row_no long").parquet(path)
+    index = sorted((r[1], r[2], r[0]) for r in stored.groupBy(F.input_file_name()).agg(F.min("row_no"), F.max("row_no")).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=2)
+        def held(uri: str) -> np.ndarray:
+            files, place = fs.FileSystem.from_uri(uri)
+            return pq.read_table(place, columns=["row_no"], filesystem=files).column("row_no").to_numpy()
+
+        for batch in batches:
+            mine = batch.column("row_no").to_numpy()
+            keep = np.zeros(len(mine), bool)
+            for part in np.unique(mine >> 33):  # a task may read the parts of several writers
+                own = (mine >> 33) == part
+                low, high = mine[own].min(), mine[own].max()
+                for first, last, uri in index:
+                    if first <= high and last >= low:
+                        keep |= own & np.isin(mine, held(uri))
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)

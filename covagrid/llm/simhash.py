@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covagrid.llm.common import byte_texts, cut, map_batches
+from covagrid.llm.common import byte_texts, cut, keep_numbered, map_batches
 
 SEED = 42
 #: Byte -> its eight bits in the eight byte lanes of a 64-bit word.
@@ -306,5 +306,5 @@ def simhash_dedup(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors(),
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
     first = rows.groupBy("print").agg(F.min(order).alias("first"))
     rooted = first.join(_roots(rows, anchors, most), "print")
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_no").alias("stays"))
-    return rows.join(cut(stay, "stay"), F.col("row_no") == F.col("stays"), "left_semi").select("row.*")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_no").alias("row_no"))
+    return keep_numbered(rows, stay, "stay").select("row.*")
