@@ -34,7 +34,7 @@ _NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 #: Texts of these characters only: normal forms, lower case, white space and classes are the same in every library.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ŷŹ-ž]*")
-_HELD_WORDS = 400_000
+_HELD_WORDS = 150_000
 
 
 class WordTokenizer:
@@ -53,8 +53,6 @@ class WordTokenizer:
         self.held: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.held) > _HELD_WORDS:
-            self.held.clear()
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -66,21 +64,30 @@ class WordTokenizer:
                 self.held[word] = data[start:stop]
                 start = stop
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _WORDS.findall(text.lower())
-        try:
-            return b"".join(map(self.held.__getitem__, words))
-        except KeyError:
-            self.learn([w for w in dict.fromkeys(words) if w not in self.held])
-            return b"".join([self.held.get(w) or self._one(w) for w in words])
-
-    def _one(self, word: str) -> bytes:
-        self.learn([word])
-        return self.held[word]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words of all of them are encoded together."""
+        split = [None if _PLAIN.fullmatch(t) is None or any(s in t for s in self.special) else _WORDS.findall(t.lower()) for t in texts]
+        if len(self.held) > _HELD_WORDS:
+            self.held.clear()
+        held = self.held
+        self.learn(list({w for words in split if words for w in words if w not in held}))
+        return [
+            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(held.__getitem__, words))
+            for text, words in zip(texts, split, strict=True)
+        ]
+
+
+def _runs(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
+    """The texts in runs of about `most` characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text or "")
+        size += len(run[-1])
+        if size > most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @lru_cache
@@ -99,8 +106,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids:
         end = np.array([END_OF_DOCUMENT], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = ids_of(text or "") + end
+            texts = batch.column("text").to_pylist()
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), (x for some in _runs(texts) for x in ids_of(some)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4

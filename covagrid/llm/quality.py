@@ -33,7 +33,7 @@ STOP_WORDS = frozenset(
     "el los las y en que de un una es por con para no su al lo como más del se".encode().split()
 )
 DIMENSIONS = 1 << 12
-_HELD_WORDS = 300_000
+_HELD_WORDS = 100_000
 #: So many words count half.
 EVIDENCE = 4
 
