@@ -27,27 +27,30 @@ def explode_operations(reads: DataFrame) -> DataFrame:
     ins: bases (and * for pads) inserted after it; gap: how many deleted bases follow. Insertions and pads run up to
     the next other operation; a deletion behind such a run shows the length of its first operation.
     """
-    ops = operations(F.col("cigar"))
     letters = F.array_join(F.transform("cigar", lambda x: x["op"]), "")
-    listed = reads.withColumns({"ops": ops, "letters": letters, "reverse": F.col("flag").bitwiseAND(F.lit(int(Flag.REVERSE))) != 0}).drop("cigar")
-    rows = listed.select("*", F.posexplode("ops").alias("k", "o")).filter(F.col("o.op").isin(*SPANNING))
-    rows = rows.withColumns({"from": F.greatest("lo", F.col("pos") + F.col("o.ref_off")), "to": F.least("hi", F.col("pos") + F.col("o.ref_off") + F.col("o.len"))}).filter("to > from")
+    listed = reads.withColumns({"letters": letters, "reverse": F.col("flag").bitwiseAND(F.lit(int(Flag.REVERSE))) != 0})
+    rows = listed.select("*", F.posexplode("cigar").alias("k", "o")).filter(F.col("o.op").isin(*SPANNING))
+    ahead, first = F.slice("cigar", F.lit(1), F.col("k")), F.col("k") == 0
+    rows = rows.withColumns({"op": F.col("o.op"), "len": F.col("o.len").cast("long"), "op_start": F.col("pos") + F.when(first, 0).otherwise(span(ahead)), "query": F.when(first, 0).otherwise(span(ahead, QUERY)).cast("long")})
+    rows = rows.withColumn("op_stop", F.col("op_start") + F.col("len")).withColumns({"from": F.greatest("lo", "op_start"), "to": F.least("hi", "op_stop")}).filter("to > from")
+    # most operations are followed by none of these, and what stands in the branches is then not evaluated
+    follows = F.expr("substring(letters, k + 2, 1)")
     rest = F.expr("substring(letters, k + 2)")
     run = F.length(F.regexp_extract(rest, "^[IP]*", 0))
-    added = F.slice("ops", F.col("k") + 2, run)
+    added = operations(F.slice("cigar", F.col("k") + 2, run))
+    next_base = F.col("query") + F.when(F.col("op").isin(*QUERY), F.col("len")).otherwise(0)
 
     def read(x: Column) -> Column:
-        return F.col("seq").substr((x["query_off"] + 1).cast("int"), x["len"].cast("int"))
+        return F.col("seq").substr((next_base + x["query_off"] + 1).cast("int"), x["len"].cast("int"))
 
     # what is past the end of the sequence is unknown
     text = F.array_join(F.transform(added, lambda x: F.when(x["op"] == "P", F.repeat(F.lit("*"), x["len"].cast("int"))).otherwise(F.rpad(strand(read(x)), x["len"].cast("int"), "n"))), "")
-    inserts = F.exists(added, lambda x: x["op"] == "I")
-    deletes = F.aggregate(F.slice("ops", F.col("k") + 2, F.length(F.regexp_extract(rest, "^D*", 0))), F.lit(0).cast("long"), lambda total, x: total + x["len"])
-    behind = F.get(F.col("ops"), F.col("k") + 1 + run)
-    gap = F.when(rest.startswith("D"), F.when(F.col("o.op") != "D", deletes)).when((run > 0) & inserts & (behind["op"] == "D"), behind["len"])
-    return rows.withColumns({"ins": F.when((run > 0) & inserts, text).otherwise(""), "gap": F.coalesce(gap, F.lit(0).cast("long")), "op": F.col("o.op"), "op_start": F.col("pos") + F.col("o.ref_off"), "op_stop": F.col("pos") + F.col("o.ref_off") + F.col("o.len"), "query": F.col("o.query_off")}).withColumn(
-        "bases", F.when(F.col("op").isin("D", "N"), "").otherwise(F.expr("substring(seq, cast(query + 1 as int), cast(o.len as int))"))
-    ).drop("ops", "letters", "k", "o", "seq")
+    inserts = follows.isin("I", "P") & F.regexp_extract(rest, "^[IP]*", 0).contains("I")
+    deletes = span(F.slice("cigar", F.col("k") + 2, F.length(F.regexp_extract(rest, "^D*", 0))))
+    behind = F.get(F.col("cigar"), F.col("k") + 1 + run)
+    gap = F.when(follows == "D", F.when(F.col("op") != "D", deletes)).when(inserts, F.when(behind["op"] == "D", behind["len"].cast("long")))
+    rows = rows.withColumns({"ins": F.when(inserts, text).otherwise(""), "gap": F.coalesce(gap, F.lit(0).cast("long")), "bases": F.when(F.col("op").isin("D", "N"), "").otherwise(F.expr("substring(seq, cast(query + 1 as int), cast(len as int))"))})
+    return rows.drop("cigar", "letters", "k", "o", "seq", "len")
 
 
 def explode_cells(operations_: DataFrame, keep: list[str]) -> DataFrame:

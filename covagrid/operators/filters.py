@@ -52,17 +52,19 @@ def in_intervals(reads: DataFrame, intervals: DataFrame, width: int) -> DataFram
 def unsorted_reads(reads: DataFrame) -> DataFrame:
     """Reads that start before the read ahead of them in the file, or on an earlier reference.
 
-    Order across blocks of the file is checked by the blocks' last and first reads, so no task holds all reads.
+    Neighbours are compared within blocks of read_ord, then the blocks' ends within blocks of blocks, and so on: four
+    levels of 16 bits hold all, and no task holds more than a block of what the level below left.
     """
-    block = F.floor(F.col("read_ord") / 65536)
-    inside = Window.partitionBy("block").orderBy("read_ord")
-    rows = reads.filter("tid >= 0").select("read_ord", "tid", "pos", block.alias("block"))
-    here = F.struct("tid", "pos")
-    within = rows.withColumn("ahead", F.lag(here).over(inside)).filter(F.col("ahead") > here).select("read_ord", "tid", "pos")
-    edges = rows.groupBy("block").agg(F.min(F.struct("read_ord", "tid", "pos")).alias("first"), F.max(F.struct("read_ord", "tid", "pos")).alias("last"))
-    across = edges.withColumn("ahead", F.lag("last").over(Window.orderBy("block")))
-    broken = across.filter(F.struct("ahead.tid", "ahead.pos") > F.struct("first.tid", "first.pos")).select("first.*")
-    return within.unionByName(broken)
+    read = F.struct("read_ord", "tid", "pos")
+    level = reads.filter("tid >= 0").select(F.col("read_ord").alias("key"), read.alias("first"), read.alias("last"))
+    found = None
+    for _ in range(4):
+        level = level.withColumn("above", F.shiftright("key", 16))
+        ahead = level.withColumn("ahead", F.lag("last").over(Window.partitionBy("above").orderBy("key")))
+        wrong = ahead.filter(F.struct("ahead.tid", "ahead.pos") > F.struct("first.tid", "first.pos")).select("first.*")
+        found = wrong if found is None else found.unionByName(wrong)
+        level = level.groupBy("above").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumnRenamed("above", "key")
+    return found
 
 
 def mean_read_length(reads: DataFrame, first: int = 10) -> DataFrame:

@@ -17,7 +17,10 @@ REFS = [(tid, name, LENGTH) for tid, name in enumerate(NAMES)]
 
 
 def read_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    threads = spark.sparkContext.defaultParallelism
+    if line.rdd.getNumPartitions() < threads:  # a small file is a task or two, and a line becomes many cells
+        line = line.repartition(threads)
     n, a = F.col("n"), F.floor(F.col("n") / 2)
     number = lambda c: F.col(c).cast("int")
     kind = F.when(n < 8, 0).otherwise(F.col("l_partkey") % 5)
@@ -30,8 +33,11 @@ def read_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.array(_op("S", F.lit(2)), _op("M", n - 2))).when(kind == 4, F.array(_op("M", a), _op("N", F.lit(3)), _op("M", n - a))).otherwise(F.array(_op("M", n)))
     )
     tid = F.array_position(F.array(*(F.lit(x) for x in NAMES)), F.col("rname")).cast("int") - 1
-    seq = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.get(F.array(*(F.lit(c) for c in "ACGT")), ((F.col("l_partkey") + 7 * q) % 4).cast("int"))), "")
-    qual = F.transform(F.sequence(F.lit(0), n - 1), lambda q: ((F.col("l_suppkey") + 3 * q) % 42).cast("int"))
+    # base q is ACGT at (part + 7 q) mod 4, quality q is (supplier + 3 q) mod 42: stretches of a repeated pattern
+    seq = F.repeat(F.lit("TGCA"), 14).substr((4 - F.col("l_partkey") % 4).cast("int"), n)
+    first = (F.col("l_suppkey") % 42).cast("int")
+    patterns = F.array(*(F.array(*(F.lit((c + 3 * q) % 42) for q in range(70))) for c in range(3)))
+    qual = F.slice(F.get(patterns, first % 3), F.floor(first / 3).cast("int") + 1, n)
     flag = bit(16, "l_linenumber", 2) + bit(1024, "l_partkey", 37) + bit(512, "l_suppkey", 41) + bit(256, "l_partkey", 43) + bit(1, "l_partkey", 2) + bit(2, "l_partkey", 4)
     return rows.select(
         (F.col("pos") * (1 << 48) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("read_ord"), F.col("l_orderkey").cast("string").alias("qname"), flag.alias("flag"), tid.alias("tid"), "rname", "pos", (F.col("l_suppkey") % 61).cast("int").alias("mapq"),
