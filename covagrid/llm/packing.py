@@ -34,7 +34,7 @@ _NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 #: Texts of these characters only: normal forms, lower case, white space and classes are the same in every library.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ŷŹ-ž]*")
-_HELD_WORDS = 150_000
+_HELD_WORDS = 150_000  # twice as many with the older ones
 
 
 class WordTokenizer:
@@ -51,11 +51,12 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(some):
                 raise ValueError("the words and the tokenizer's ends of words disagree")
@@ -67,10 +68,14 @@ class WordTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all of them are encoded together."""
         split = [None if _PLAIN.fullmatch(t) is None or any(s in t for s in self.special) else _WORDS.findall(t.lower()) for t in texts]
-        if len(self.held) > _HELD_WORDS:
-            self.held.clear()
-        held = self.held
-        self.learn(list({w for words in split if words for w in words if w not in held}))
+        if len(self.held) > _HELD_WORDS:  # words that come again move over, the others go the next time
+            self.held, self.older = {}, self.held
+        held, older = self.held, self.older
+        new = set().union(*filter(None, split)).difference(held)
+        for word in [w for w in new if w in older]:
+            held[word] = older[word]
+            new.discard(word)
+        self.learn(list(new))
         return [
             np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(held.__getitem__, words))
             for text, words in zip(texts, split, strict=True)
