@@ -117,11 +117,13 @@ def features(words: list[bytes]) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """P(good) of each vote pattern (rows of 0, 1, 2) by EM from the votes against it.
 
-    A pattern without a vote against it counts as good: where no bad text exists, EM has nothing to separate.
+    A pattern without a vote against it counts as good: where no bad text exists, EM has nothing to separate. A labeller
+    that votes against most texts doesn't know their kind (stop words of a language it lacks) and is not heard.
     """
     total = counts.sum()
     if not total:
         return np.ones(len(patterns))
+    patterns = np.where(((patterns == 2).T @ counts) * 2 > total, 0, patterns)
     against = (patterns == 2).sum(axis=1)
     good = 1 / (1 + np.exp(2.5 * against - 1.5))  # kinds of bad text differ, and each shows in few labellers
     for _ in range(rounds):
