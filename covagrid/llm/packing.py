@@ -40,8 +40,9 @@ _HELD_WORDS = 150_000  # twice as many with the older ones
 class WordTokenizer:
     """Ids of a text as the tokenizer file gives them, as little-endian unsigned 32-bit numbers.
 
-    The ids of a text are those of its words one after the other. So each new word is encoded once and held; texts
-    with other than plain characters, or with the string of a special token, go to the tokenizer whole.
+    No token spans white space, so the ids of a text are those of its words one after the other. Each new word is
+    encoded once and held; texts with other than plain characters, or with the string of a special token, go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -57,9 +58,11 @@ class WordTokenizer:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(some):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            parts = np.cumsum([len(_WORDS.findall(word)) for word in some])
+            if len(ends) != parts[-1]:
                 raise ValueError("the words and the tokenizer's ends of words disagree")
+            stops = ends[parts - 1] * 4
             data, start = ids.tobytes(), 0
             for word, stop in zip(some, stops.tolist(), strict=True):
                 self.held[word] = data[start:stop]
@@ -67,7 +70,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all of them are encoded together."""
-        split = [None if _PLAIN.fullmatch(t) is None or any(s in t for s in self.special) else _WORDS.findall(t.lower()) for t in texts]
+        split = [None if _PLAIN.fullmatch(t) is None or any(s in t for s in self.special) else t.lower().split() for t in texts]
         if len(self.held) > _HELD_WORDS:  # words that come again move over, the others go the next time
             self.held, self.older = {}, self.held
         held, older = self.held, self.older
