@@ -12,6 +12,7 @@ from covagrid.operators.depth import cap_depth
 from covagrid.operators.filters import filter_reads, in_intervals
 from covagrid.operators.outputs import KEYS, Histogram, Pileup, PileupOutput
 from covagrid.operators.qualities import apply_bq, merge_overlaps
+from covagrid.operators.realign import realign
 from covagrid.params import BY_REFERENCE, COVERED, PileupParams
 from covagrid.sources.fasta import build_index, chunked, read_fasta
 from covagrid.sources.regions import resolve
@@ -51,7 +52,13 @@ class PileupQuery:
         if reference is not None and not params.no_baq:
             # as many names as there are references
             names = [r[0] for r in build_index(reference)] if isinstance(reference, str) else [r[0] for r in reference.select("name").distinct().collect()]
-            reads = apply_bq(reads, F.col("rname").isin(*names))
+            known = F.coalesce(F.col("rname").isin(*names), F.lit(False))
+            needed = known if params.redo_baq else known & F.col("bq").isNull()
+            if not params.redo_baq:
+                reads = apply_bq(reads, known)
+            reach = reads.filter(needed).agg(F.max(F.col("stop") - F.col("pos") + 3 * F.length("seq"))).first()[0]
+            if reach is not None:  # some read has no tag to go by
+                reads = realign(reads, self._chunks(int(reach) + params.bin_width), needed, params.bin_width)
         reads = cap_depth(reads, params.max_depth)
         return reads if params.ignore_overlaps else merge_overlaps(reads)
 

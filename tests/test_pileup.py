@@ -8,6 +8,7 @@ from covagrid.operators.depth import cap_depth
 from covagrid.operators.filters import unsorted_reads
 from covagrid.operators.outputs import Histogram, Pileup
 from covagrid.operators.qualities import keeps_first, merge_mates
+from covagrid.operators.realign import realigned
 from covagrid.params import BY_REFERENCE, EVERYTHING, Flag, PileupParams, parse_flags
 from covagrid.plans.engine import PileupEngine
 from covagrid.sources.fasta import build_index, read_fasta
@@ -233,6 +234,23 @@ def test_quality_tags_apply_where_the_reference_is_known(spark):
     assert quals(reference, no_baq=True) == quals(None) == "??&"
 
 
+def test_realignment_lowers_what_an_indel_would_explain(spark):
+    bases = "ACGGTCATTGCAAGTCCTAGGATCTTACGAGCATGCCTTAAGGCTATCGAT"
+    ops = [{"op": "M", "len": 30}]
+    exact = realigned(5, ops, bases[5:35], [30] * 30, bases, 0)
+    assert exact[5:25] == [30] * 20
+    shifted = bases[5:28] + bases[30:37]  # lacks two bases near its end, which the CIGAR passes over
+    lowered = realigned(5, ops, shifted, [30] * 30, bases, 0)
+    assert lowered[5:18] == [30] * 13 and max(lowered[24:]) < 15
+    for skip in ([{"op": "M", "len": 10}, {"op": "N", "len": 5}, {"op": "M", "len": 20}],):
+        assert realigned(5, skip, shifted, [30] * 30, bases, 0) == [30] * 30
+    assert realigned(0, ops, "", [], bases, 0) == []
+    reads = table(spark, [a_read(0, 0, 5, [("M", 30)], shifted), a_read(1, 1, 5, [("M", 3)], "ACG"), a_read(2, 0, 6, [("M", 2)], "")])
+    reference = spark.createDataFrame([("x", bases + bases[:9])], "name string, seq string")
+    rows = PileupEngine(spark, PileupParams(min_base_quality=0, bin_width=4), reference).submit(reads, REFS).usable_reads().orderBy("read_ord").collect()
+    assert [r.qual for r in rows] == [lowered, [30] * 3, []]
+
+
 def test_regions():
     assert parse_region("x") == type(parse_region("x"))("x", 0, (1 << 63) - 2)
     assert (parse_region("x:5").start, parse_region("x:0-7").start, parse_region("x:5-7").last) == (4, 0, 6)
