@@ -17,7 +17,7 @@ from covagrid.plans.read_view import CELLS_SQL, GAP, INS, PLP_SQL, REFS, read_vi
 from covagrid.sources.regions import chunks, resolve
 
 REGIONS = "NO:100-220,AF:50,RF:1000-1100,RF:1050-1200"
-_PLAIN = {"ignore_overlaps": True, "max_depth": 0, "bin_width": 100}  # few coordinates, each deep
+_PLAIN = {"ignore_overlaps": True, "no_baq": True, "max_depth": 0, "bin_width": 100}  # few coordinates, each deep
 
 
 def _query(spark: SparkSession, sf_dir: str, with_reference: bool = False, **params) -> PileupQuery:
