@@ -149,7 +149,7 @@ def train(rows: np.ndarray, labels: np.ndarray, rounds: int = 300) -> tuple[np.n
     if min(good, bad) < 1:  # one class only: nothing to learn
         return weights, 1.0 if good >= bad else -1.0
     balance = (labels / good + (1 - labels) / bad) / 2
-    scale = 1 / (np.sqrt((rows**2).T @ balance) + 1e-3)
+    scale = 1 / (np.sqrt(np.einsum("ij,ij,i->j", rows, rows, balance)) + 1e-3)
     for step in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ weights + bias, -30, 30)))
         error = ((p - labels) * balance).astype(np.float32)
@@ -190,7 +190,7 @@ class Model:
 _values: dict = {}
 
 
-def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
+def fit(docs: DataFrame, train_rows: int = 2048) -> Model:
     """Votes of all rows of `docs` and a scorer from about `train_rows` of them, chosen by a hash of doc_id and text."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     share = min(1.0, train_rows / max(1, docs.count()))
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
     return Model(*train(rows, np.array([posterior[r[0]] for r in sample])), posterior, math.log(share / (1 - share)))
 
 
-def quality_scores(docs: DataFrame, train_rows: int = 4096, threshold: float = 0.5) -> DataFrame:
+def quality_scores(docs: DataFrame, train_rows: int = 2048, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, posterior, kept of every row of `docs` (doc_id, text; other columns are ignored).
 
     score: the scorer's P(good) of the whole text; posterior: that of its vote pattern; kept: a score of at least
@@ -233,7 +233,7 @@ def quality_scores(docs: DataFrame, train_rows: int = 4096, threshold: float = 0
     return map_batches(texts, score, "doc_id long, score double, posterior double, kept boolean")
 
 
-def quality_filter(docs: DataFrame, train_rows: int = 4096, threshold: float = 0.5) -> DataFrame:
+def quality_filter(docs: DataFrame, train_rows: int = 2048, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns, that `quality_scores` keeps."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows))
     return keep_rows(docs, lambda texts: [s >= threshold for s in sent.value.scores(byte_texts(texts))[0]])
