@@ -108,10 +108,16 @@ class _Features(dict):
 _features = _Features()
 
 
+_CELL = np.dtype([("slot", "<u2"), ("share", "<f4")])
+
+
 def features(words: list[bytes]) -> np.ndarray:
-    """How much of a text each slot has; words make one half, shapes the other, and repeats have the last slot."""
-    slots = np.array([s for w in words for s in _features[w]], np.int64)
-    return np.append(np.bincount(slots, minlength=DIMENSIONS) / max(1, len(slots)), repeats(words)).astype(np.float32)
+    """The slots that a text has and how much of it each has; words make one half, shapes the other, and repeats have the last slot."""
+    slots, counts = np.unique([s for w in words for s in _features[w]], return_counts=True)
+    cells = np.empty(len(slots) + 1, _CELL)
+    cells["slot"][:-1], cells["share"][:-1] = slots, counts / (2 * len(words))
+    cells[-1] = DIMENSIONS, repeats(words)
+    return cells
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -201,7 +207,7 @@ def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
         for text, wanted in zip(byte_texts(batch.column("text")), batch.column("chosen").to_pylist(), strict=True):
             words = text.split()
             patterns.append(int(np.dot(votes(text, words), _POWERS)))
-            held.append(features(words).astype("<f4").tobytes() if wanted and words else None)
+            held.append(features(words).tobytes() if wanted and words else None)
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32()), pa.array(held, pa.binary())], ["pattern", "features"])
 
     seen = cut(map_batches(texts.select("text", chosen.alias("chosen")), look, "pattern int, features binary"), "votes")
@@ -210,7 +216,10 @@ def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
     good = estimate(codes[:, None] // _POWERS % 3, np.array([counted[c] for c in codes.tolist()], float))
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
     sample = sorted(seen.filter("features is not null").limit(2 * train_rows).collect())
-    rows = np.stack([np.frombuffer(r[1], "<f4") for r in sample]) if sample else np.zeros((0, DIMENSIONS + 1), np.float32)
+    rows = np.zeros((len(sample), DIMENSIONS + 1), np.float32)
+    for row, (_, data) in zip(rows, sample, strict=True):
+        cells = np.frombuffer(data, _CELL)
+        row[cells["slot"]] = cells["share"]
     n = sum(counted.values())
     share = (sum(posterior[c] * k for c, k in counted.items()) + 1) / (n + 2)
     return Model(*train(rows, np.array([posterior[r[0]] for r in sample])), posterior, math.log(share / (1 - share)))
