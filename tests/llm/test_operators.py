@@ -15,6 +15,7 @@ from covagrid.llm import html_extract, license_scan, packing, quality, simhash,
 from covagrid.llm.common import shared_dir
 from covagrid.llm.decontaminate import align, benchmark_matches, codes, decontaminated, gram_hashes, normal
 from covagrid.llm.line_dedup import dedup_lines
+from covagrid.llm.near_copies import near_dedup
 from covagrid.llm.queries import RULES, queries, tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -387,3 +388,31 @@ def test_one_of_each_group_stays(spark):
     rows = simhash.simhash_dedup(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows) == sorted([(False, 3, a), (True, 0, b), (False, 8, "")])
     assert Counter(r.row_no in (2, 3, 5, 7) for r in rows) == {True: 3}
+
+
+def test_pipeline_keeps_one_of_similar_texts(spark):
+    """Against every pair's five-word Jaccard similarity."""
+    rng = random.Random(11)
+
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    texts = ["", None, " ", "a b", "A  b", "a b c"]
+    for edits_made in (1, 2, 3, 4, 5, 6, 8, 12, 20):
+        base = [rng.choice(VOCABULARY) for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            near = list(base)
+            for at in rng.sample(range(300), edits_made):
+                near[at] = f"new{rng.random()}"
+            texts.append(" ".join(near))
+    sets = [grams(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert {r.doc_id for r in near_dedup(frame(spark, texts)).collect()} == set(root)
+    assert len(set(root)) < simhash.simhash_dedup(frame(spark, texts)).count()
