@@ -217,6 +217,18 @@ def test_every_template_is_its_own_best_match():
             assert license_scan.identify(text)[0][0] == name
 
 
+@pytest.mark.parametrize("length", [60, 1000, 5000])
+def test_licenses_in_long_lines(spark, length):
+    rng, names = random.Random(length), ["MIT", "CC-BY-NC-4.0", "CC0-1.0", "ISC", "GPL-3.0", "Apache-2.0"]
+    texts, places = [], []
+    for name in names:
+        before = " ".join(rng.choice(VOCABULARY) for _ in range(length // 2))
+        texts.append(f"{before} {license_scan.TEMPLATES[name][0]} {before}")
+        places.append((name, len(before) + 1, len(before) + 1 + len(license_scan.TEMPLATES[name][0])))
+    rows = license_scan.license_notices(frame(spark, texts)).collect()
+    assert [(r.license, r.start, r.end) for r in sorted(rows, key=lambda r: r.doc_id)] == places
+
+
 # 7
 
 
