@@ -229,6 +229,14 @@ def test_licenses_in_long_lines(spark, length):
     assert [(r.license, r.start, r.end) for r in sorted(rows, key=lambda r: r.doc_id)] == places
 
 
+def test_each_license_of_a_line_is_reported(spark):
+    one, two = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    text = f"{one} {two} Ab cd. {license_scan.TEMPLATES['ISC'][1]}"
+    rows = sorted(license_scan.license_notices(frame(spark, [text])).collect(), key=lambda r: r.start)
+    assert [r.license for r in rows] == ["MIT", "Apache-2.0", "ISC"]
+    assert [text[r.start : r.end] for r in rows] == [one, two, license_scan.TEMPLATES["ISC"][1]]
+
+
 # 7
 
 
