@@ -237,6 +237,20 @@ def test_each_license_of_a_line_is_reported(spark):
     assert [text[r.start : r.end] for r in rows] == [one, two, license_scan.TEMPLATES["ISC"][1]]
 
 
+def test_words_that_name_a_license_do_not_differ():
+    header = license_scan.TEMPLATES["GPL-3.0"][1]
+    said = {"GNU General": "GPL-3.0", "GNU Lesser General": "LGPL-3.0", "GNU Affero General": "AGPL-3.0"}
+    for words, name in said.items():
+        assert [x[0] for x in license_scan.identify(header.replace("GNU General", words))] == [name]
+    assert license_scan.identify(header.replace("GNU General", "GNU Library General")) == ()
+    old = header.replace("GNU General", "GNU Library General").replace("version 3", "version 2")
+    assert [x[0] for x in license_scan.identify(old)] == ["LGPL-2.0"]
+    assert [x[0] for x in license_scan.identify(header.replace("version 3", "version 2"))] == ["GPL-2.0"]
+    assert license_scan.identify(header.replace("version 3", "version 4")) == ()
+    bullets = re.sub(r" [123]\. ", " * ", license_scan.TEMPLATES["BSD-3-Clause"][1])
+    assert [x[0] for x in license_scan.identify(bullets)] == ["BSD-3-Clause"]
+
+
 # 7
 
 
