@@ -5,7 +5,7 @@ from the body down) are one node of the site's style tree. A node's presentation
 styles, its content the text below it; each has an entropy over the pages, to the base of their number, so that 0 means
 the same on all pages and 1 different on all. A container whose weighted entropy is low is furniture of the site, and
 its branch is removed from every page. Elements whose tag, role or class names what they are (menu, footer, advert,
-comments ...) are removed on every host, also on those with a page or two.
+comments ...) are removed on every host, also on those with a page or two; compound class names are left to entropies.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from covagrid.llm.url_filter import host_and_path
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
-DROPPED = frozenset("head script style noscript template title nav header footer aside form button select option optgroup input textarea iframe object embed applet canvas svg math audio video map dialog menu noembed noframes".split())
+DROPPED = frozenset("head script style noscript template title nav header footer aside form button select option optgroup input textarea iframe object embed applet canvas svg audio video map dialog menu noembed noframes".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
     "subscription signup login sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead comment comments commentlist reply replies respond disqus related recommended share sharing "
@@ -36,6 +36,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends these, unless one of the second kind stands between.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+NEVER_NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())  # classes and ids don't drop these
 CONTAINERS = frozenset("div section ul ol dl table article main center fieldset details figure".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)>", re.S)
@@ -44,7 +45,7 @@ _NAMES = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("children", "dropped", "main", "parent", "path", "tag", "text")
+    __slots__ = ("children", "dropped", "inside", "main", "named", "parent", "path", "tag", "text")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent, self.children, self.text = tag, parent, [], []
@@ -54,12 +55,20 @@ class Element:
                 named.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
         style = " ".join(sorted(named.get("class", "").split()))
         self.path = f"{parent.path if parent else ''}/{tag}{'.' if style else ''}{style}"
-        words = set(_NAMES.findall(f"{named.get('class', '')} {named.get('id', '')}".lower()))
+        names = f"{named.get('class', '')} {named.get('id', '')}".lower().split()
         role = named.get("role", "").strip().lower()
         looks = named.get("style", "").replace(" ", "").lower()
-        whole = tag in ("html", "body", "article", "main")
         self.main = tag in ("article", "main") or role in ("main", "article") or named.get("itemprop", "") == "articleBody"
-        self.dropped = tag in DROPPED or role in NOISE_ROLES or (bool(words & NOISE_WORDS) and not (whole and not words & {"comment", "comments", "reply", "related", "ad"})) or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in looks
+        self.inside = parent is not None and (parent.inside or parent.main)
+        self.dropped = tag in DROPPED or role in NOISE_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in looks
+        self.named = not self.dropped and tag not in NEVER_NAMED and any(_noise(x, self.inside) for x in names) and not (tag in ("html", "body", "article", "main") and not set(names) & {"comment", "comments", "reply", "related", "ad"})
+        self.dropped |= self.named
+
+
+def _noise(name: str, inside: bool) -> bool:
+    """Whether a class or id says that its element is noise: the whole name; outside of articles also all its parts."""
+    parts = _NAMES.findall(name)
+    return name in NOISE_WORDS or (not inside and bool(parts) and all(x in NOISE_WORDS for x in parts))
 
 
 def parse(page: str) -> Element:
@@ -107,7 +116,10 @@ def _end(open_: list[Element], tags: set[str], until: set[str]) -> None:
 
 
 def blocks(root: Element, furniture: frozenset[str] | set[str] = frozenset()) -> list[str]:
-    """The text blocks that stay: those below main elements, or the whole body if none has text."""
+    """The text blocks that stay: those below main elements, or the whole body if none has text.
+
+    If all of it is in elements dropped for their class or id, those are kept.
+    """
     out: list[str] = []
     run: list[str] = []
 
@@ -117,7 +129,7 @@ def blocks(root: Element, furniture: frozenset[str] | set[str] = frozenset()) ->
         if text:
             out.append(text)
 
-    def walk(element: Element) -> None:
+    def walk(element: Element, named: bool = False) -> None:
         work: list = [(element, 0)]
         while work:
             here, k = work.pop()
@@ -130,7 +142,7 @@ def blocks(root: Element, furniture: frozenset[str] | set[str] = frozenset()) ->
                     run.append(child)
                 elif child.tag in ("br", "hr") or child.tag in VOID:
                     run.append(" ")
-                elif not child.dropped and child.path not in furniture:
+                elif (not child.dropped or (named and child.named)) and child.path not in furniture:
                     work += [(here, k), (child, 0)]
                     break
             else:
@@ -143,6 +155,8 @@ def blocks(root: Element, furniture: frozenset[str] | set[str] = frozenset()) ->
             walk(main)
     if not out:
         walk(root)
+    if not out:
+        walk(root, named=True)
     return out
 
 

@@ -198,6 +198,16 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert texts[25] == "Every page says this\n\nthe same"  # one distinct page tells nothing of a site
 
 
+def test_names_drop_no_part_of_an_article():
+    def text(page):
+        return html_extract.blocks(html_extract.parse(page))
+
+    page = "<body><article><h2 id='related-work'>A</h2><p id='notice'>B</p><section id='search-and-share'>C</section><div class='hidden-print'>D</div><p><math><mi>x</mi></math></p><h2 class=comment>E</h2><div class=ad>no</div></article></body>"
+    assert text(page) == ["A", "B", "C", "D", "x", "E"]
+    assert text("<body><div class='content has-sidebar'><p>A</p></div><div class='nav-menu'>no</div></body>") == ["A"]
+    assert text("<body><div class='widget'><p>All of it</p></div></body>") == ["All of it"]
+
+
 # 6
 
 
