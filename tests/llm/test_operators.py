@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -213,9 +215,9 @@ def test_names_drop_no_part_of_an_article():
 
 def test_licenses(spark):
     mit = license_scan.TEMPLATES["MIT"][2]
-    texts = ["Ab cd.\nReleased under the MIT License.\nEf.", "Licensed under the Apache License, Version 2.0.", "This license was lost at sea.", None, "", mit.replace(", to deal", ",\nto deal").replace("substantial", "big"), "Copyright 2019 Some One. All rights reserved."]
+    texts = ["Ab cd.\nReleased under the MIT License.\nEf.", "Licensed under the Apache License, Version 2.0.", "This license was lost at sea.", None, "", mit.replace(", to deal", ",\nto deal").replace("substantial", "big"), "Copyright 2019 Some One. All rights reserved.", "x\n\nAll rights reserved."]
     rows = [(r.doc_id, r.license, texts[r.doc_id][r.start : r.end], r.missing_words, r.added_words) for r in license_scan.license_notices(frame(spark, texts)).collect()]
-    assert sorted(x[:2] for x in rows) == [(0, "MIT"), (1, "Apache-2.0"), (5, "MIT"), (6, "Proprietary")]
+    assert sorted(x[:2] for x in rows) == [(0, "MIT"), (1, "Apache-2.0"), (5, "MIT"), (6, "Proprietary"), (7, "Proprietary")]
     by = {x[0]: x for x in rows}
     assert by[0][2] == "Released under the MIT License." and by[0][3:] == ("", "")
     assert by[5][2] == texts[5] and by[5][3:] == ("substantial", "big")
@@ -261,6 +263,71 @@ def test_words_that_name_a_license_do_not_differ():
     assert [x[0] for x in license_scan.identify(bullets)] == ["BSD-3-Clause"]
 
 
+FULL = {"MIT": ("MIT", 3), "BSD-2": ("BSD-2-Clause", 2), "BSD-3": ("BSD-3-Clause", 2), "ISC": ("ISC", 2), "Apache": ("Apache-2.0", 1), "GPL-3": ("GPL-3.0", 2), "LGPL-2.1": ("LGPL-2.1", 2), "Zlib": ("Zlib", 1)}
+LAYOUTS = {
+    "wrapped": lambda text: "\n".join(textwrap.wrap(text, 66)),
+    "comment": lambda text: "/*\n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, 60)) + "\n */",
+    "hashes": lambda text: "\n#\n".join(f"# {x}" for x in textwrap.wrap(text, 70)),
+    "paragraphs": lambda text: re.sub(r" (THE SOFTWARE|THIS SOFTWARE|The above|You may|Unless|[123]\. |This \w+ is distributed|You should|Permission is granted)", r"\n\n\1", text),
+}
+
+
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_whole_licenses_are_found_once(spark, layout):
+    """Over lines, paragraphs and comment marks, after a title and a copyright line, with their differences."""
+    texts = [f"Some License\n\nCopyright (c) 2020 A. Person\nAll rights reserved.\n\n{LAYOUTS[layout](license_scan.TEMPLATES[name][k])}\n\nimport words" for name, k in FULL.values()]
+    rows = sorted(license_scan.license_notices(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.license for r in rows] == [name for name, _ in FULL.values()]
+    for r, (name, k) in zip(rows, FULL.values(), strict=True):
+        assert license_scan.words(texts[r.doc_id][r.start : r.end]) == license_scan.words(license_scan.TEMPLATES[name][k])
+        assert (r.missing_words, r.added_words, r.template_rank) == ("", "", 0)
+    one = license_scan.notices(LAYOUTS[layout](license_scan.TEMPLATES["MIT"][3]).replace("AUTHORS", "WRITERS"))
+    assert [x[:1] + x[3:5] for x in one] == [("MIT", "authors", "writers")]
+
+
+def test_no_stretch_within_the_budget_is_lost():
+    """Candidate blocks against all stretches of all texts, for every template, with words changed, lost and added."""
+    rng = random.Random(6)
+
+    def least(template, have):  # fewest differing words of any stretch
+        row = [0] * (len(have) + 1)
+        for word in template:
+            new = [row[0] + 1]
+            for j, other in enumerate(have, 1):
+                new.append(min(row[j - 1] + (word != other) * 2, row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    templates = license_scan.library(0.1).templates
+    seen = Counter()
+    for k, template in enumerate(templates):
+        if len(template.segments) > 1:
+            continue
+        for changes in (0, template.budget, template.budget + 1):
+            have = list(template.words)
+            for _ in range(changes):
+                at = rng.randrange(len(have))
+                have[at : at + 1] = rng.choice([[], [have[at], "kegil"]])
+            have = [rng.choice(VOCABULARY) for _ in range(9)] + have + [rng.choice(VOCABULARY) for _ in range(9)]
+            blocks = license_scan.candidates(have).get(k, [])
+            distances = [int(license_scan._distances(template.words, have[a:b])[-1].min()) for a, b, _ in blocks]
+            wanted = least(template.words, have)
+            if wanted <= template.budget:
+                assert min(distances) == wanted
+                seen["in"] += 1
+            else:
+                assert all(d > template.budget for d in distances)
+                seen["out"] += 1
+    assert min(seen.values()) > 20
+
+
+def test_repeated_notices_take_linear_time():
+    text = "All rights reserved. " * 20_000 + f"{license_scan.TEMPLATES['MIT'][3]} " * 100
+    began = time.process_time()
+    assert Counter(x[0] for x in license_scan.notices(text)) == {"Proprietary": 19_999, "MIT": 100}
+    assert time.process_time() - began < 20
+
+
 # 7
 
 
