@@ -210,6 +210,106 @@ def test_names_drop_no_part_of_an_article():
     assert text("<body><div class='widget'><p>All of it</p></div></body>") == ["All of it"]
 
 
+def test_markup_is_read_as_browsers_do():
+    def text(page):
+        return html_extract.blocks(html_extract.parse(page))
+
+    assert text("<nav/>Menu</nav><p>x</p>") == ["x"]  # only void and foreign elements end themselves
+    assert text("a<svg><path/>no</svg>b<math><mi/>c</math>") == ["abc"]
+    assert text("&am<b>p;</b>T &#x41;&copy") == ["&amp;T A\u00a9"]  # references don't run over tags
+    assert text("<article><header><h1>A</h1></header><b>B</b><hr>C<footer>no</footer></article><header>no</header>") == ["A", "B", "C"]
+    assert text("<div class='article-header'><h1>H</h1></div><div class='social-science'>S</div><p class='search'>P</p><div class='cookie-notice'>no</div>") == ["H", "S", "P"]
+    assert text("<article><div class=related>A <a>b</a> text</div><div class=related><a>no</a> <a>no</a></div><section id=comments>no</section></article>") == ["A b text"]
+    assert text("a < b, 1<2 <p title='x>y'>c</p><!-- > --> d</3 no> <?no?> e") == ["a < b, 1<2", "c", "d e"]
+    assert text("<table><tr><td>a<td>b</table><ul><li>c<li>d</ul><p>e<p>f</div>g") == ["a", "b", "c", "d", "e", "fg"]
+    assert text("<p title='a>b<p>c") == ["b", "c"]  # a quote that never ends
+    assert text("a<p>b<a href=") == ["a", "b"]
+
+
+def random_page(rng, depth=0):
+    """(markup, text blocks) of a random tree that is closed properly."""
+    markup, out, run = [], [], []
+
+    def flush():
+        if text := " ".join("".join(run).split()):
+            out.append(text)
+        run.clear()
+
+    for _ in range(rng.randint(0, 5)):
+        kind = rng.choice(["text", "text", "inline", "block", "gone", "comment"]) if depth < 6 else "text"
+        word = rng.choice(["a b ", " c", "d &amp; e", "\n", "&nbsp;f&lt;", "g > h"])
+        if kind == "text":
+            markup.append(word)
+            run.append(word.replace("&amp;", "&").replace("&nbsp;", "\xa0").replace("&lt;", "<"))
+        elif kind == "inline":
+            markup.append(f"<{(tag := rng.choice(['b', 'a', 'em', 'x-y']))} href='>'>{word}</{tag}>")
+            run.append(word.replace("&amp;", "&").replace("&nbsp;", "\xa0").replace("&lt;", "<"))
+        elif kind == "comment":
+            markup.append("<!-- <p> -->")
+        else:
+            inner, blocks = random_page(rng, depth + 1)
+            tag = rng.choice(["div", "section", "blockquote"] if kind == "block" else ["nav", "aside", "form"])
+            markup.append(f"<{tag} class=\"k{rng.randint(0, 3)}\">{inner}</{tag}>")
+            if kind == "block":
+                flush()
+                out += blocks
+    flush()
+    return "".join(markup), out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_blocks_of_random_pages(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        markup, wanted = random_page(rng)
+        found = html_extract.blocks(html_extract.parse(f"<body>{markup}</body>"))
+        assert " ".join(found).split() == " ".join(wanted).split()
+
+
+def test_furniture_is_what_entropies_say(spark):
+    """Against entropies counted in Python over pages of which the tree is known."""
+    rng = random.Random(55)
+    hosts = {f"h{k}": [] for k in range(4)}
+    for host, pages in hosts.items():
+        few = [prose(rng, 3) for _ in range(rng.choice([1, 2, 12]))]
+        for k in range(rng.choice([6, 12, 30])):
+            pages.append({"top": rng.choice(few) if host != "h1" else few[0], "mid": prose(rng, 8) + str(k), "low": "same"})
+    rows = [(10 * h + 1000 * k, f"http://{host}/{k}", "<body>" + "".join(f"<div class={c}>{t}</div>" for c, t in page.items()) + "</body>") for h, (host, pages) in enumerate(hosts.items()) for k, page in enumerate(pages)]
+    texts = {r.url: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * np.log(c / n) for c in Counter(values).values()) / np.log(n)
+
+    for host, pages in hosts.items():
+        gone = {c for c in ("top", "mid", "low") if len(pages) >= 8 and 0.9 * entropy([" ".join(p[c].split()) for p in pages]) < 0.15}
+        for k, page in enumerate(pages):
+            assert texts[f"http://{host}/{k}"].split("\n\n") == [" ".join(t.split()) for c, t in page.items() if c not in gone]
+
+
+def test_what_articles_share_stays(spark):
+    page = "<body><nav>{}</nav><article><div class=body><p>One text</p></div><div>and more</div></article></body>"
+    rows = [(k, "http://h/", page.format(k)) for k in range(20)]
+    assert {r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()} == {"One text\n\nand more"}
+
+
+HOSTILE = {
+    "deep": ("<div>" * 200_000 + "x", ["x"]), "unclosed tags": ("<a " * 300_000, []), "quotes": ("<a \">\"" * 150_000 + "'x", None), "stray ends": ("<div>" * 90_000 + "</p>" * 90_000 + "x", ["x"]), "less": ("<" * 1_000_000, ["<" * 1_000_000]),
+    "comments": ("<!--" * 250_000, []), "tables": ("<table><tr><td>" * 60_000 + "x", ["x"]), "names": ("<article>" + "<div class=related>" * 50_000 + "x", ["x"]), "bold": ("<b>" * 300_000 + "x", ["x"]), "scripts": ("<script>" * 120_000, []),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    page, wanted = HOSTILE[name]
+    began = time.process_time()
+    root = html_extract.parse(page)
+    found = html_extract.blocks(root)
+    html_extract.style_nodes(html_extract.settle(root))
+    assert wanted is None or found == wanted
+    assert time.process_time() - began < 15
+
+
 # 6
 
 
