@@ -3,7 +3,8 @@
 If a document holds an item of n characters with at most k edits, then at least ``n - q + 1 - q * k`` of the item's
 q-grams stand in it, all on diagonals (text position minus item position) that differ by no more than k. So hits
 are counted in diagonal bands of width 2 (k + 1) at steps of k + 1, of which one holds any such set; bands with
-enough hits are kept, and only there the item is aligned, within the band.
+enough hits are kept, and only there the item is aligned, within the band; bands that touch are aligned together. In a
+text of repeated characters a gram meets an item's grams everywhere; there hits are counted by runs, not one by one.
 """
 
 from __future__ import annotations
@@ -56,9 +57,10 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items."""
+    """The q-grams of those items of a block that are searched with the same `q`."""
 
     q: int
+    numbers: list[int]  # of the items in the block
     texts: list[str]
     budgets: np.ndarray
     needed: np.ndarray
@@ -67,23 +69,44 @@ class Index:
     items: np.ndarray
     places: np.ndarray
     filter: np.ndarray
-    short: list[int]
 
 
-def build_index(items: list[tuple[int, str]], q: int, share: float) -> Index:
-    """`share`: the edits allowed, as a share of an item's length. Items shorter than q characters allow none."""
+@dataclass
+class Block:
+    indexes: list[Index]
+    short: list[tuple[int, str]]  # items that are looked for as whole words
+
+
+def build_index(items: list[tuple[int, str]], q: int, share: float) -> Block:
+    """`share`: the edits allowed, as a share of an item's length.
+
+    An item of n characters and k edits is searched with grams of n // (k + 1) characters, if that is less than `q`: k
+    edits then leave one of its grams at least. Items shorter than `q` that allow no edit are looked for as words.
+    """
     texts = [normal(t) for _, t in items]
+    groups: dict[int, list[int]] = {}
+    short = []
+    for k, text in enumerate(texts):
+        edits = int(len(text) * share)
+        if edits or len(text) >= q:
+            groups.setdefault(min(q, len(text) // (edits + 1)), []).append(k)
+        elif text:
+            short.append((k, text))
+    return Block([_grams(width, numbers, [texts[k] for k in numbers], share) for width, numbers in sorted(groups.items())], short)
+
+
+def _grams(q: int, numbers: list[int], texts: list[str], share: float) -> Index:
     lengths = np.array([len(t) for t in texts], np.int64)
-    budgets = np.maximum(0, np.minimum((lengths * share).astype(np.int64), (lengths - q) // q))
+    budgets = (lengths * share).astype(np.int64)
     hashes = [gram_hashes(codes(t), q) for t in texts]
-    flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
+    flat = np.concatenate(hashes)
     order = np.argsort(flat, kind="stable")
     item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])[order]
-    place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)])[order].astype(np.int64)
+    place = np.concatenate([np.arange(len(h)) for h in hashes])[order].astype(np.int64)
     grams, starts = np.unique(flat[order], return_index=True)
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[_slot(grams)] = True
-    return Index(q, texts, budgets, lengths - q + 1 - q * budgets, grams, np.append(starts, len(flat)), item, place, bits, [k for k, t in enumerate(texts) if 0 < len(t) < q])
+    return Index(q, numbers, texts, budgets, lengths - q + 1 - q * budgets, grams, np.append(starts, len(flat)), item, place, bits)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, fixed: bool = False) -> tuple[int, int] | None:
@@ -114,72 +137,172 @@ def _expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def regions(texts: list[str], index: Index) -> list[tuple[int, int, int, int]]:
-    """(text, item, lowest diagonal, highest) of the bands that the count leaves."""
+_MANY = 1_000_000
+Region = tuple[int, int, int, int]
+
+
+def regions(texts: list[str], index: Index) -> list[Region]:
+    """(text, item, lowest diagonal, highest) of what the counts leave; those of one text and item don't touch."""
     joined = "\0".join(texts)
     hashes = gram_hashes(codes(joined), index.q)
     at = np.flatnonzero(index.filter[_slot(hashes)])
-    gram = np.minimum(np.searchsorted(index.grams, hashes[at]), max(0, len(index.grams) - 1))
-    exact = index.grams[gram] == hashes[at] if len(index.grams) else np.zeros(len(at), bool)
+    gram = np.minimum(np.searchsorted(index.grams, hashes[at]), len(index.grams) - 1)
+    exact = index.grams[gram] == hashes[at]
     at, gram = at[exact], gram[exact]
     if not len(at):
         return []
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    found: list[tuple[int, int, int, int]] = []
-    # whole texts at a time, so that no band is cut; each part has about a million hits
     sizes = index.starts[gram + 1] - index.starts[gram]
     owner = np.searchsorted(begins, at, side="right") - 1
-    parts = np.cumsum(np.bincount(owner, sizes, len(texts))) // 1_000_000
-    for part in np.unique(parts):
-        mine = parts[owner] == part
+    hits = np.bincount(owner, sizes, len(texts))
+    found: list[np.ndarray] = []
+    # whole texts at a time, so that no band is cut
+    for text in np.flatnonzero(hits > _MANY):
+        mine = owner == text
+        found += _crowded(int(text), at[mine] - begins[text], gram[mine], index)
+    few = hits[owner] <= _MANY
+    parts = np.cumsum(np.where(hits > _MANY, 0, hits)) // _MANY
+    for part in np.unique(parts[owner[few]]):
+        mine = few & (parts[owner] == part)
         entry = _expand(index.starts[gram[mine]], sizes[mine])
         position, text = np.repeat(at[mine], sizes[mine]), np.repeat(owner[mine], sizes[mine])
-        item = index.items[entry]
-        step = index.budgets[item] + 1
-        band = (position - begins[text] - index.places[entry] + len(joined)) // step
-        pair = text * len(index.texts) + item
-        width = 2 * len(joined) + 8
-        keys, counts = np.unique(np.concatenate([pair * width + band, pair * width + band - 1]), return_counts=True)
-        pair, band = keys // width, keys % width
-        item = pair % len(index.texts)
-        ok = counts >= index.needed[item]
-        low = band[ok] * (index.budgets[item[ok]] + 1) - len(joined)
-        found += zip((pair[ok] // len(index.texts)).tolist(), item[ok].tolist(), low.tolist(), (low + 2 * index.budgets[item[ok]] + 1).tolist(), strict=True)
-    return found
-
-
-def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, start, end) of each item in each text: the place with the fewest edits, then the first."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found.append(_bands(text, index.items[entry], position - begins[text] - index.places[entry], index, len(joined)))
+    rows = np.concatenate(found)
+    return [tuple(r) for r in _merged(rows).tolist()]
+
+
+def _bands(text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, index: Index, size: int) -> np.ndarray:
+    """Rows (text, item, low, high) of the bands of 2 (k + 1) diagonals at steps of k + 1 with enough of the hits."""
+    band = (diagonal + size) // (index.budgets[item] + 1)
+    pair = text * len(index.texts) + item
+    width = 2 * size + 8
+    keys, counts = np.unique(np.concatenate([pair * width + band, pair * width + band - 1]), return_counts=True)
+    pair, band = keys // width, keys % width
+    item = pair % len(index.texts)
+    ok = counts >= index.needed[item]
+    pair, band, item = pair[ok], band[ok], item[ok]
+    low = band * (index.budgets[item] + 1) - size
+    return np.stack([pair // len(index.texts), item, low, low + 2 * index.budgets[item] + 1], axis=1)
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """The rows with those of one text and item that touch made one."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    if len(rows) < 2:
+        return rows
+    # bands of one item have one width, so the order of lows is that of highs
+    apart = (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] > rows[:-1, 3] + 1)
+    first = np.flatnonzero(np.r_[True, apart])
+    last = np.r_[first[1:], len(rows)] - 1
+    return np.concatenate([rows[first][:, :3], rows[last][:, 3:]], axis=1)
+
+
+def _crowded(text: int, at: np.ndarray, gram: np.ndarray, index: Index) -> list[np.ndarray]:
+    """Bands of a text with very many hits, item by item: over all diagonals at once where an item has more hits than that."""
+    order = np.lexsort((at, gram))
+    at, gram = at[order], gram[order]
+    own, first, times = np.unique(gram, return_index=True, return_counts=True)
+    entry = _expand(index.starts[own], index.starts[own + 1] - index.starts[own])
+    which = np.repeat(np.arange(len(own)), index.starts[own + 1] - index.starts[own])  # the text's gram of each entry
+    by_item = np.argsort(index.items[entry], kind="stable")
+    entry, which = entry[by_item], which[by_item]
+    items, starts = np.unique(index.items[entry], return_index=True)
+    out = []
+    for item, a, b in zip(items.tolist(), starts.tolist(), [*starts.tolist()[1:], len(entry)], strict=True):
+        grams, places = which[a:b], index.places[entry[a:b]]
+        sizes = times[grams]
+        if sizes.sum() < index.needed[item]:
+            continue
+        if sizes.sum() <= _MANY:
+            positions = at[_expand(first[grams], sizes)]
+            diagonal = positions - np.repeat(places, sizes)
+            same = np.full(len(diagonal), text), np.full(len(diagonal), item)
+            out.append(_bands(*same, diagonal, index, int(at.max()) + len(index.texts[item]) + 1))
+        else:
+            out.append(_dense(text, item, at, first, times, grams, places, index))
+    return out
 
-    def note(text: int, item: int, edits: int, start: int, end: int) -> None:
-        best[text, item] = min(best.get((text, item), (edits, start, end)), (edits, start, end))
 
-    values: dict[int, np.ndarray] = {}
-    for text, item, low, high in regions(texts, index):
-        if best.get((text, item), (1,))[0] == 0:
-            continue
-        wanted, n = index.texts[item], len(index.texts[item])
-        if (start := texts[text].find(wanted)) >= 0:
-            note(text, item, 0, start, start + n)
-            continue
-        budget = int(index.budgets[item])
-        a, b = max(0, low - budget), min(len(texts[text]), high + n + budget)
-        part = codes(texts[text][a:b])
-        if item not in values:
-            values[item] = codes(wanted)
-        hit = align(values[item], part, low - a, high - a, budget)
-        if hit:
-            edits, end = hit
-            back = align(values[item][::-1], part[:end][::-1], -budget, budget, edits, fixed=True)
-            note(text, item, edits, a + end - (back[1] if back else n), a + end)
-    for item in index.short:
+def _runs(sorted_places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of consecutive places."""
+    first = np.flatnonzero(np.r_[True, np.diff(sorted_places) != 1])
+    return sorted_places[first], np.diff(np.r_[first, len(sorted_places)])
+
+
+def _dense(text: int, item: int, at: np.ndarray, first: np.ndarray, times: np.ndarray, grams: np.ndarray, places: np.ndarray, index: Index) -> np.ndarray:
+    """The bands of one item, from the number of hits on every diagonal.
+
+    A run of a gram in the text and one in the item meet on a trapezoid of diagonals, four steps of its second difference.
+    """
+    n, step = len(index.texts[item]), int(index.budgets[item]) + 1
+    size = int(at.max()) + n + 2 * step + 4
+    single, bend = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    order = np.lexsort((places, grams))
+    grams, places = grams[order], places[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(grams) != 0]), len(grams)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        g = grams[a]
+        begin, length = _runs(at[first[g] : first[g] + times[g]])
+        for u, m in zip(*(x.tolist() for x in _runs(places[a:b])), strict=True):
+            shift = begin - u + n
+            lone = (length == 1) & (m == 1)
+            np.add.at(single, shift[lone], 1)
+            shift, long = shift[~lone], length[~lone]
+            for place, sign in ((shift - m + 1, 1), (shift + 1, -1), (shift + long - m + 1, -1), (shift + long + 1, 1)):
+                np.add.at(bend, place, sign)
+    total = np.cumsum(np.r_[0, single + np.cumsum(np.cumsum(bend))])
+    low = np.arange(0, size - 2 * step, step)
+    ok = total[low + 2 * step] - total[low] >= index.needed[item]
+    low = low[ok] - n
+    return np.stack([np.full(len(low), text), np.full(len(low), item), low, low + 2 * step - 1], axis=1)
+
+
+_WIDE = 1 << 16
+
+
+def scan(texts: list[str], block: Block) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, edits, start, end) of each item in each text: the place with the fewest edits, then the first found."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for index in block.indexes:
+        values: dict[int, np.ndarray] = {}
+        looked: set[tuple[int, int]] = set()
+        for text, item, low, high in regions(texts, index):
+            key, wanted = (text, index.numbers[item]), index.texts[item]
+            if key not in looked:
+                looked.add(key)
+                if (start := texts[text].find(wanted)) >= 0:
+                    best[key] = (0, start, start + len(wanted))
+            if item not in values:
+                values[item] = codes(wanted)
+            budget = int(index.budgets[item])
+            while low <= high:  # pieces of a wide region share enough diagonals for any match
+                budget = min(budget, best[key][0] - 1) if key in best else budget
+                if budget < 0:
+                    break
+                if hit := _place(values[item], texts[text], low, min(high, low + _WIDE + 2 * budget), budget):
+                    best[key] = min(best.get(key, hit), hit)
+                low += _WIDE
+    for item, words in block.short:
         for text, whole in enumerate(texts):
-            if (start := f" {whole} ".find(f" {index.texts[item]} ")) >= 0:
-                note(text, item, 0, start, start + len(index.texts[item]))
+            if (start := f" {whole} ".find(f" {words} ")) >= 0:
+                best[text, item] = (0, start, start + len(words))
     return [(t, i, *rest) for (t, i), rest in sorted(best.items())]
 
 
+def _place(item: np.ndarray, text: str, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best place of the item on diagonals low to high."""
+    n = len(item)
+    a, b = max(0, low - budget), max(0, min(len(text), high + n + budget))
+    part = codes(text[a:b])
+    hit = align(item, part, low - a, high - a, budget)
+    if hit is None:
+        return None
+    edits, end = hit
+    begin = max(0, end - n - budget)
+    back = align(item[::-1], part[begin:end][::-1], -budget, budget, edits, fixed=True)
+    return edits, a + end - (back[1] if back else n), a + end
+
+
 MATCHES = "doc_id long, item_id long, edits int, start long, end long"
 _GROUP_CHARS = 500_000
 
@@ -210,10 +333,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, q: int = 8, share:
     """doc_id, item_id, edits, start, end: each benchmark item that a document holds with edits up to `share` of it.
 
     Texts are compared in lower case with runs of white space as one space; start and end (exclusive) are places in
-    the text so written. Items that are empty match nothing, those shorter than `q` only whole words without edits. The
+    the text so written. Items that are empty match nothing; those shorter than `q` that allow no edit match whole words. The
     benchmark is a stated query set: it is taken in blocks of about `block_chars` characters, each of which goes to
     every task, and each block reads all documents. Null and empty texts hold nothing; null doc_ids and repeated rows
-    give rows of their own; of rows that repeat an item_id each counts. Empty tables give an empty result.
+    give rows of their own; of rows that repeat an item_id each counts; other columns are ignored whatever their names. Texts are searched whole; a
+    long one, also of one repeated character, takes time and memory in proportion. Empty tables give an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
     out = None

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from covagrid.llm import exact_dedup as exact
-from covagrid.llm import html_extract, license_scan, packing, quality, simhash, url_filter, warc
+from covagrid.llm import decontaminate, html_extract, license_scan, packing, quality, simhash, url_filter, warc
 from covagrid.llm.common import shared_dir
 from covagrid.llm.decontaminate import align, benchmark_matches, codes, decontaminated, gram_hashes, normal
 from covagrid.llm.line_dedup import dedup_lines
@@ -507,8 +507,7 @@ def test_benchmark_matches(spark):
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             n = normal(item)
-            budget = max(0, min(int(len(n) * 0.1), (len(n) - 8) // 8))
-            if n and (f" {n} " in f" {normal(t)} " if len(n) < 8 else edits(n, normal(t)) <= budget):
+            if n and (f" {n} " in f" {normal(t)} " if len(n) < 8 else edits(n, normal(t)) <= int(len(n) * 0.1)):
                 wanted.add((d, i))
     for block in (1 << 22, 700):
         rows = benchmark_matches(frame(spark, texts), benchmark, block_chars=block).collect()
@@ -520,6 +519,51 @@ def test_benchmark_matches(spark):
     assert left == set(range(len(texts))) - {d for d, _ in wanted}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_short_items_have_the_edits_that_are_documented(spark, share):
+    rng = random.Random(90)
+    items = [prose(rng, 8)[:n].strip() for n in range(8, 41) for _ in range(2)]
+    texts = []
+    for item in items:
+        n = normal(item)
+        passage = list(n)
+        for _ in range(rng.choice([0, 1, int(len(n) * share), int(len(n) * share) + 1])):
+            at = rng.randrange(len(passage))
+            passage[at : at + 1] = rng.choice([[], ["x"], [passage[at], "y"]])
+        texts.append(f"{prose(rng, 6)} {''.join(passage)} {prose(rng, 6)}")
+    rows = benchmark_matches(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id int, text string"), share=share).collect()
+    wanted = {(d, i): edits(normal(item), normal(t)) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    assert {(r.doc_id, r.item_id): r.edits for r in rows} == {k: e for k, e in wanted.items() if e <= int(len(normal(items[k[1]])) * share)}
+
+
+@pytest.mark.parametrize("many", [1_000_000, 0, 300])
+def test_repetitive_texts_lose_no_match(monkeypatch, many):
+    """Counting by runs over all diagonals, and one by one, against every place."""
+    monkeypatch.setattr(decontaminate, "_MANY", many or 1)
+    monkeypatch.setattr(decontaminate, "_WIDE", 40 if many == 300 else 1 << 16)
+    rng = random.Random(many)
+    items = ["-" * 20 + prose(rng, 6), "-=" * 15 + "a", "ab ab ab " * 6 + "c", "-" * 45, prose(rng, 9)]
+    texts = ["-" * 300, "-=" * 90 + "-" * 60, "ab " * 60 + "c", "-" * 30 + prose(rng, 6) + "-" * 60]
+    for item in items:
+        passage = list(item)
+        for _ in range(rng.randint(0, len(item) // 8)):
+            passage[rng.randrange(len(passage))] = rng.choice(["-", "x", ""])
+        texts.append("-" * rng.randint(0, 50) + "".join(passage) + "-" * rng.randint(0, 50))
+    texts = [normal(t) for t in texts]
+    found = {(t, i): e for t, i, e, _, _ in decontaminate.scan(texts, decontaminate.build_index(list(enumerate(items)), 8, 0.1))}
+    wanted = {(t, i): edits(normal(item), text) for t, text in enumerate(texts) for i, item in enumerate(items)}
+    assert found == {k: e for k, e in wanted.items() if e <= len(normal(items[k[1]])) // 10}
+
+
+def test_a_megabyte_of_dashes_takes_seconds():
+    rng = random.Random(3)
+    block = decontaminate.build_index(list(enumerate(["-" * 60 + prose(rng, 20), "-=" * 30 + prose(rng, 20), "-" * 300])), 8, 0.1)
+    began = time.process_time()
+    assert decontaminate.scan(["-" * 1_000_000], block) == [(0, 2, 0, 0, 300)]
+    assert decontaminate.scan(["-=" * 300_000], block) == []
+    assert time.process_time() - began < 30
+
+
 @given(st.text("ab", min_size=1, max_size=9), st.text("ab", max_size=20))
 def test_alignment_is_the_edit_distance(item, text):
     found = align(codes(item), codes(text), -len(item), len(text), len(item))
