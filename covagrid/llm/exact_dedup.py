@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covagrid.llm.common import byte_texts, cut, map_batches
+from covagrid.llm.common import byte_texts, cut, keep_numbered, map_batches
 
 #: The first prime from the fractional bits of the square root of 2 on; unlike 2**127 - 1 it makes no chunk positions interchangeable.
 PRIME = 140949571415070559626692937523481902439
@@ -37,39 +37,44 @@ def combine(left: int, right: int, right_length: int, prime: int = PRIME) -> int
     return (left * pow(256, right_length, prime) + right) % prime
 
 
-_PRINTS = "doc_id long, n_points long, norm_bytes long, text_sha256 string, print binary, piece_no int, piece binary"
+_PRINTS = "row_no long, doc_id long, n_points long, norm_bytes long, text_sha256 string, print binary, piece_no int, body binary"
 
 
 def _prints(docs: DataFrame, prime: int, huge_bytes: int) -> DataFrame:
-    """One row per document with its fingerprint; a document above `huge_bytes` instead gives a row per piece."""
+    """A row per document with its fingerprint and bare bytes; one above `huge_bytes` has a row per piece, without print."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         points = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
         rows: list[tuple] = []
-        for doc_id, n, raw in zip(batch.column("doc_id").to_pylist(), points, byte_texts(batch.column("text")), strict=True):
+        for row_no, doc_id, n, raw in zip(batch.column("row_no").to_pylist(), batch.column("doc_id").to_pylist(), points, byte_texts(batch.column("text")), strict=True):
             data = raw.translate(None, WHITE)
             sha = hashlib.sha256(data).hexdigest()
             if len(data) <= huge_bytes:
-                rows.append((doc_id, n, len(data), sha, fingerprint(data, prime).to_bytes(16, "big"), 0, None))
+                rows.append((row_no, doc_id, n, len(data), sha, fingerprint(data, prime).to_bytes(16, "big"), 0, data))
             else:
-                rows += [(doc_id, n, len(data), sha, None, k, data[at : at + huge_bytes]) for k, at in enumerate(range(0, len(data), huge_bytes))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary()), strict=True)],
-            ["doc_id", "n_points", "norm_bytes", "text_sha256", "print", "piece_no", "piece"],
-        )
+                rows += [(row_no, doc_id, n, len(data), sha, None, k, data[at : at + huge_bytes]) for k, at in enumerate(range(0, len(data), huge_bytes))]
+        yield _batch(rows, _PRINTS)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each, _PRINTS)
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long"), F.col("text").cast("string")), each, _PRINTS)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(v, _KINDS[k]) for v, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def _joined_pieces(pieces: DataFrame, prime: int) -> DataFrame:
     """Fingerprints of huge documents: their pieces are hashed wherever they lie and combined in order."""
+    keys = ["row_no", "doc_id", "n_points", "norm_bytes", "text_sha256"]
 
     def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data = batch.column("piece").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in ("doc_id", "n_points", "norm_bytes", "text_sha256", "piece_no")), pa.array([fingerprint(x, prime).to_bytes(16, "big") for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64())],
-            ["doc_id", "n_points", "norm_bytes", "text_sha256", "piece_no", "part", "part_bytes"],
-        )
+        data = batch.column("body").to_pylist()
+        parts = [pa.array([fingerprint(x, prime).to_bytes(16, "big") for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in (*keys, "piece_no")), *parts], [*keys, "piece_no", "part", "part_bytes"])
 
     def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
@@ -80,28 +85,32 @@ def _joined_pieces(pieces: DataFrame, prime: int) -> DataFrame:
             out.append(value.to_bytes(16, "big"))
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keys), pa.array(out, pa.binary())], [*keys, "print"])
 
-    keys = ["doc_id", "n_points", "norm_bytes", "text_sha256"]
-    parts = map_batches(pieces.repartition("doc_id", "text_sha256", "piece_no"), hashed, "doc_id long, n_points long, norm_bytes long, text_sha256 string, piece_no int, part binary, part_bytes long")
-    # rows that repeat a document bring the same pieces again; one of each is enough, and the copies are counted
-    once = parts.groupBy(*keys, "piece_no").agg(F.min("part").alias("part"), F.min("part_bytes").alias("part_bytes"), F.count(F.lit(1)).alias("copies"))
-    lists = once.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("piece_no", "part", "part_bytes"))).alias("parts"), F.max("copies").cast("int").alias("copies"))
-    rows = lists.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
-    return map_batches(rows, joined, "doc_id long, n_points long, norm_bytes long, text_sha256 string, print binary")
+    whole = "row_no long, doc_id long, n_points long, norm_bytes long, text_sha256 string"
+    parts = map_batches(pieces.repartition("row_no", "piece_no"), hashed, f"{whole}, piece_no int, part binary, part_bytes long")
+    lists = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("piece_no", "part", "part_bytes"))).alias("parts"))
+    return map_batches(lists, joined, f"{whole}, print binary")
 
 
-def _collisions(docs: DataFrame, nominees: DataFrame, chunk: int) -> DataFrame:
-    """Fingerprints under which some chunk differs. Equal chunks collapse before the shuffle, so a hot group stays small."""
+_CHUNKS = "print binary, norm_bytes long, at long, chunk binary"
+
+
+def _collisions(raw: DataFrame, prints: DataFrame, groups: DataFrame, chunk: int, huge_bytes: int) -> DataFrame:
+    """Fingerprints under which some chunk differs. Equal chunks collapse before the shuffle, so a hot group stays small.
+
+    The bytes of the nominees are picked by their rows' numbers where they lie; those of huge documents meet their print.
+    """
 
     def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prints, sizes, data = batch.column("print").to_pylist(), batch.column("norm_bytes").to_pylist(), byte_texts(batch.column("text"))
-        rows = [(p, n, at, part) for p, n, raw in zip(prints, sizes, data, strict=True) for text in (raw.translate(None, WHITE),) for at in range(0, len(text), chunk) for part in (text[at : at + chunk],)]
+        columns = (batch.column(n).to_pylist() for n in ("print", "norm_bytes", "piece_no", "body"))
+        rows = [(p, n, piece * huge_bytes + at, data[at : at + chunk]) for p, n, piece, data in zip(*columns, strict=True) for at in range(0, len(data), chunk)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["print", "norm_bytes", "at", "chunk"])
+            yield _batch(rows, _CHUNKS)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    nominees = nominees.select(F.col("doc_id").alias("nominee"), "print", "norm_bytes").distinct()
-    found = texts.join(nominees, texts["doc_id"].eqNullSafe(nominees["nominee"])).select("print", "norm_bytes", "text")
-    compared = map_batches(found, chunks, "print binary, norm_bytes long, at long, chunk binary").groupBy("print", "norm_bytes", "at").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    nominees = prints.join(groups, ["print", "norm_bytes"]).select("row_no", "print")
+    bodies = keep_numbered(raw.select("row_no", "print", "norm_bytes", "piece_no", "body"), nominees, "nominees")
+    small = bodies.filter("print is not null").drop("row_no")
+    huge = bodies.filter("print is null").drop("print").join(nominees, "row_no").select(small.columns)
+    compared = map_batches(small.unionByName(huge), chunks, _CHUNKS).groupBy("print", "norm_bytes", "at").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return compared.filter("low <> high").select("print", "norm_bytes").distinct()
 
 
@@ -109,16 +118,17 @@ def exact_dedup(docs: DataFrame, prime: int = PRIME, huge_bytes: int = 1 << 23,
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs` (doc_id, text; other columns are ignored).
 
     Of equal texts the row with the most code points stays, then the smallest doc_id. A null text counts as empty, and
-    empty texts are equal. Null doc_ids come last. Rows that repeat a doc_id stay separate rows of one group, of which
-    one is kept. An empty table gives an empty result.
+    empty texts are equal. Null doc_ids come last. Rows are told apart by where they stand, so null and repeated doc_ids are
+    rows like any other, of which one of a group is kept. Texts above `huge_bytes` are hashed and compared in pieces by
+    different tasks. An empty table gives an empty result.
     """
     raw = cut(_prints(docs, prime, huge_bytes), "prints")
-    whole = ["doc_id", "n_points", "norm_bytes", "text_sha256", "print"]
-    prints = raw.filter("piece is null").select(whole).unionByName(_joined_pieces(raw.filter("piece is not null"), prime).select(whole))
-    prints = cut(prints.withColumn("row_no", F.monotonically_increasing_id()), "rows")
+    whole = ["row_no", "doc_id", "n_points", "norm_bytes", "text_sha256", "print"]
+    prints = raw.filter("print is not null").select(whole).unionByName(_joined_pieces(raw.filter("print is null"), prime).select(whole))
+    prints = cut(prints, "rows")
     groups = prints.groupBy("print", "norm_bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     groups = cut(groups, "groups")  # a join with a table, not with the aggregate itself, can split a hot group
-    bad = cut(_collisions(docs, prints.join(groups, ["print", "norm_bytes"]), chunk), "collisions").withColumn("split", F.lit(True))
+    bad = cut(_collisions(raw, prints, groups, chunk, huge_bytes), "collisions").withColumn("split", F.lit(True))
     classed = prints.join(bad, ["print", "norm_bytes"], "left").withColumn("class", F.when(F.col("split"), F.concat("print", F.encode("text_sha256", "UTF-8"))).otherwise(F.col("print")))
     order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_no").alias("row_no"))
     best = classed.groupBy("class", "norm_bytes").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))

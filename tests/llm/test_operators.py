@@ -469,6 +469,15 @@ def test_exact_dedup(spark, prime, huge):
             assert (rows[k].keep_id, rows[k].group_size, rows[k].kept, rows[k].text_sha256) == (keep, len(members), k == keep, hashlib.sha256(b.encode()).hexdigest())
 
 
+def test_rows_without_ids_are_compared_once(spark):
+    """Copies without ids bring each of them to the comparison once, not once for each pair of rows."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") / 2).cast("long")).alias("text"))
+    began = time.monotonic()
+    found = exact.exact_dedup(rows).groupBy("group_size", "kept").count().collect()
+    assert sorted((r.group_size, r.kept, r["count"]) for r in found) == [(2, False, 10_000), (2, True, 10_000)]
+    assert time.monotonic() - began < 60
+
+
 @given(st.binary(max_size=300), st.binary(max_size=300), st.integers(1, 50))
 def test_fingerprints_compose(a, b, chunk):
     whole = exact.fingerprint(a + b, chunk=chunk)
