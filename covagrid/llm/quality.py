@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -32,19 +33,35 @@ STOP_WORDS = frozenset(
     "le la les et est une un des du que dans qui pour pas sur au avec ce il sont plus par "
     "el los las y en que de un una es por con para no su al lo como más del se".encode().split()
 )
-DIMENSIONS = 1 << 12
+DIMENSIONS = 1 << 18
 _HELD_WORDS = 100_000
 #: So many words count half.
 EVIDENCE = 4
+#: Words of a stretch in which variety is measured, so that it doesn't fall with the length of a text.
+STRETCH = 100
 
 
 def _vote(bad: bool, good: bool) -> int:
     return 2 if bad else 1 if good else 0
 
 
-def repeats(words: list[bytes]) -> float:
-    """The share of words that the next word repeats."""
-    return sum(map(eq, words, words[1:])) / len(words)
+def _rate(count: float, total: int, neutral: float, weight: int) -> float:
+    """A share with `weight` imagined cases of a neutral one, so that little evidence brings no vote, at no fixed size."""
+    return (count + weight * neutral) / (total + weight)
+
+
+def repeats(words: list[bytes]) -> int:
+    """How many words the next word repeats."""
+    return sum(map(eq, words, words[1:]))
+
+
+def variety(words: list[bytes]) -> float:
+    """The share of different words in stretches of STRETCH words, on average; the last one may overlap the one before."""
+    n = len(words)
+    if n <= STRETCH:
+        return len(set(words)) / n
+    starts = [*range(0, n - STRETCH, STRETCH), n - STRETCH]
+    return sum([len(set(words[a : a + STRETCH])) for a in starts]) / (len(starts) * STRETCH)
 
 
 def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
@@ -53,31 +70,33 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     if not n:
         return (0,) * LABELLERS
     solid = sum(map(len, words))
-    symbols = (len(text) - len(text.translate(None, SYMBOLS))) / solid
     letters = len(text) - len(text.translate(None, LETTERS))
-    capitals = (len(text) - len(text.translate(None, CAPITALS))) / max(1, letters)
-    shouts = text.count(b"!") / n
-    mean = solid / n
     lines = [x for x in text.split(b"\n") if x.strip()]
-    ended = sum(x.rstrip().endswith(ENDS) for x in lines) / len(lines)
-    stops = sum(map(STOP_WORDS.__contains__, words)) / n
-    ragged = sum([w[-1] in SYMBOLS for w in words]) / n
-    variety = len(set(words)) / n
-    stutter = repeats(words)
+    symbols = _rate(len(text) - len(text.translate(None, SYMBOLS)), solid, 0.05, 10)
+    capitals = _rate(len(text) - len(text.translate(None, CAPITALS)), letters, 0.25, 20)
+    shouts = _rate(text.count(b"!"), n, 0.1, 2)
+    length = _rate(solid, n, 9, 4)
+    ended = _rate(sum(x.rstrip().endswith(ENDS) for x in lines), len(lines), 0.5, 3)
+    stops = _rate(sum(map(STOP_WORDS.__contains__, words)), n, 0.06, 20)
+    ragged = _rate(sum([w[-1] in SYMBOLS for w in words]), n, 0.1, 2)
+    stutter = _rate(repeats(words), n, 0.05, 5)
+    top = _rate(max(Counter(words).values()), n, 0.15, 20)
+    varied = _rate(variety(words) * min(n, STRETCH), min(n, STRETCH), 0.4, 20)
     return (
         _vote(symbols > 0.1, symbols < 0.02),
-        _vote(capitals > 0.4 and letters > 20, capitals < 0.15),
+        _vote(capitals > 0.4, capitals < 0.15),
         _vote(shouts > 0.2, shouts < 0.02),
-        _vote(mean > 12 or mean < 2, 3 <= mean <= 8),
-        _vote(ended < 0.3 and len(lines) > 2, ended > 0.8),
-        _vote(stops < 0.03 and n > 20, stops > 0.1),
+        _vote(length > 12 or length < 2, 3 <= length <= 8),
+        _vote(ended < 0.3, ended > 0.8),
+        _vote(stops < 0.03, stops > 0.1),
         _vote(ragged > 0.2, ragged < 0.02),
-        _vote(variety < 0.25 and 50 < n < 2000, variety > 0.4),
-        _vote(stutter > 0.15 and n > 5, stutter < 0.02),
+        _vote(varied < 0.3, varied > 0.45),
+        _vote(stutter > 0.15, stutter < 0.02),
+        _vote(top > 0.2, top < 0.1),
     )
 
 
-LABELLERS = 9
+LABELLERS = 10
 _POWERS = 3 ** np.arange(LABELLERS)
 
 
@@ -108,7 +127,7 @@ class _Features(dict):
 _features = _Features()
 
 
-_CELL = np.dtype([("slot", "<u2"), ("share", "<f4")])
+_CELL = np.dtype([("slot", "<u4"), ("share", "<f4")])
 
 
 def features(words: list[bytes]) -> np.ndarray:
@@ -116,14 +135,15 @@ def features(words: list[bytes]) -> np.ndarray:
     slots, counts = np.unique([s for w in words for s in _features[w]], return_counts=True)
     cells = np.empty(len(slots) + 1, _CELL)
     cells["slot"][:-1], cells["share"][:-1] = slots, counts / (2 * len(words))
-    cells[-1] = DIMENSIONS, repeats(words)
+    cells[-1] = DIMENSIONS, repeats(words) / len(words)
     return cells
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """P(good) of each vote pattern (rows of 0, 1, 2) by EM from the votes against it.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """P(good) of each vote pattern (rows of 0, 1, 2) by EM.
 
-    A pattern without a vote against it counts as good: where no bad text exists, EM has nothing to separate. A labeller
+    Votes are independent given the class, but a bad text has a vote against it: of the class's patterns those without
+    one never occur, and the EM completes them. Without that, EM would part a corpus without bad texts as well. A labeller
     that votes against most texts doesn't know their kind (stop words of a language it lacks) and is not heard.
     """
     total = counts.sum()
@@ -131,37 +151,49 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
         return np.ones(len(patterns))
     patterns = np.where(((patterns == 2).T @ counts) * 2 > total, 0, patterns)
     against = (patterns == 2).sum(axis=1)
-    good = 1 / (1 + np.exp(2.5 * against - 1.5))  # kinds of bad text differ, and each shows in few labellers
+    good = 0.5**against * (against < patterns.shape[1])
+    unseen = np.zeros((patterns.shape[1], 3))  # votes of the completed texts of the bad class
     for _ in range(rounds):
         prior = (counts @ good + 1) / (total + 2)
         logs = np.zeros((2, len(patterns)))
+        shares = np.empty((2, patterns.shape[1], 3))
         for k, weight in enumerate((counts * good, counts * (1 - good))):
             for labeller in range(patterns.shape[1]):
-                tallies = np.bincount(patterns[:, labeller], weight, 3) + 1
-                logs[k] += np.log(tallies / tallies.sum())[patterns[:, labeller]]
-        odds = np.log(1 - prior) + logs[1] - np.log(prior) - logs[0]
-        fresh = 1 / (1 + np.exp(np.clip(odds, -500, 500)))
+                tallies = np.bincount(patterns[:, labeller], weight, 3) + 1 + k * unseen[labeller]
+                shares[k, labeller] = tallies / tallies.sum()
+                logs[k] += np.log(shares[k, labeller])[patterns[:, labeller]]
+        silent = np.prod(1 - shares[1, :, 2])  # P(no vote against) before those are ruled out
+        odds = np.log(1 - prior) + logs[1] - np.log1p(-silent) - np.log(prior) - logs[0]
+        fresh = np.where(against == 0, 1.0, 1 / (1 + np.exp(np.clip(odds, -500, 500))))
+        missing = counts @ (1 - fresh) * silent / (1 - silent)
+        unseen = missing * shares[1] / (1 - shares[1][:, 2:])
+        unseen[:, 2] = 0
         done = np.abs(fresh - good).max() < 1e-6
         good = fresh
         if done:
             break
-    return np.where(against == 0, 1.0, good)
+    return good
 
 
-def train(rows: np.ndarray, labels: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer by gradient steps; both classes weigh the same."""
-    weights, bias = np.zeros(DIMENSIONS + 1, np.float32), 0.0
+def train(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer by gradient steps over the texts' cells; both classes weigh the same."""
+    weights, bias = np.zeros(DIMENSIONS + 1), 0.0
     good, bad = labels.sum(), (1 - labels).sum()
     if min(good, bad) < 1:  # one class only: nothing to learn
         return weights, 1.0 if good >= bad else -1.0
+    cells = np.concatenate(rows)
+    slots, slot = np.unique(cells["slot"], return_inverse=True)  # only slots that occur have weights
+    owner, share = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), cells["share"].astype(float)
     balance = (labels / good + (1 - labels) / bad) / 2
-    scale = 1 / (np.sqrt(np.einsum("ij,ij,i->j", rows, rows, balance)) + 1e-3)
+    scale = 1 / (np.sqrt(np.bincount(slot, share * share * balance[owner], len(slots))) + 1e-3)
+    own = np.zeros(len(slots))
     for step in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(rows @ weights + bias, -30, 30)))
-        error = ((p - labels) * balance).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, share * own[slot], len(rows)) + bias, -30, 30)))
+        error = (p - labels) * balance
         rate = 4 / (1 + step / 50)
-        weights -= rate * scale * (error @ rows + 1e-4 * weights)
+        own -= rate * scale * (np.bincount(slot, share * error[owner], len(slots)) + 1e-4 * own)
         bias -= rate * float(error.sum())
+    weights[slots] = own
     return weights, bias
 
 
@@ -172,12 +204,15 @@ class Model:
     posterior: dict[int, float]
     prior: float
 
-    def scores(self, texts: list[bytes]) -> tuple[list[float], list[float]]:
-        """P(good) by the scorer and by the labellers' votes."""
-        value, scores, beliefs = _values, [], []
+    def beliefs(self, texts: list[bytes]) -> list[float]:
+        """P(good) by the labellers' votes."""
+        return [self.posterior.get(int(np.dot(votes(text, text.split()), _POWERS)), 1.0) for text in texts]
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        """P(good) by the scorer."""
+        value, scores = _values, []
         for text in texts:
             words = text.split()
-            beliefs.append(self.posterior.get(int(np.dot(votes(text, words), _POWERS)), 1.0))
             if not words:
                 scores.append(1.0)
                 continue
@@ -186,21 +221,23 @@ class Model:
                 value[b""] = self
             for w in [w for w in set(words) if w not in value]:
                 value[w] = float(self.weights[_crc(w.lower())] + self.weights[_crc(shape(w))])
-            seen = sum(map(value.__getitem__, words)) / (2 * len(words)) + float(self.weights[-1]) * repeats(words) + self.bias
+            seen = sum(map(value.__getitem__, words)) / (2 * len(words)) + float(self.weights[-1]) * repeats(words) / len(words) + self.bias
             # classes weighed the same in training; a few words are little evidence against the share of good texts
             total = self.prior + seen * len(words) / (len(words) + EVIDENCE)
             scores.append(1 / (1 + math.exp(-min(max(total, -40.0), 40.0))))
-        return scores, beliefs
+        return scores
 
 
 _values: dict = {}
 
 
 def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
-    """Votes of all rows of `docs` and a scorer from about `train_rows` of them, chosen by a hash of doc_id and text."""
+    """Votes of all rows of `docs` and a scorer from the `train_rows` of them with the smallest hashes of doc_id and text."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    share = min(1.0, train_rows / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    place = F.xxhash64("doc_id", "text")
+    # a fourth more than are wanted by expectation, and some for small numbers; the smallest of them are taken
+    share = min(1.0, (1.25 * train_rows + 100) / max(1, docs.count()))
+    chosen = place <= F.lit(min((1 << 63) - 1, int(share * 2**64) - (1 << 63)))
 
     def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         patterns, held = [], []
@@ -208,21 +245,18 @@ def fit(docs: DataFrame, train_rows: int = 4096) -> Model:
             words = text.split()
             patterns.append(int(np.dot(votes(text, words), _POWERS)))
             held.append(features(words).tobytes() if wanted and words else None)
-        yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32()), pa.array(held, pa.binary())], ["pattern", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(patterns, pa.int32()), pa.array(held, pa.binary())], ["place", "pattern", "features"])
 
-    seen = cut(map_batches(texts.select("text", chosen.alias("chosen")), look, "pattern int, features binary"), "votes")
+    seen = cut(map_batches(texts.select("text", place.alias("place"), chosen.alias("chosen")), look, "place long, pattern int, features binary"), "votes")
     counted = {r[0]: r[1] for r in seen.groupBy("pattern").count().collect()}  # at most 3 ** LABELLERS rows
     codes = np.array(sorted(counted), np.int64)
     good = estimate(codes[:, None] // _POWERS % 3, np.array([counted[c] for c in codes.tolist()], float))
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    sample = sorted(seen.filter("features is not null").limit(2 * train_rows).collect())
-    rows = np.zeros((len(sample), DIMENSIONS + 1), np.float32)
-    for row, (_, data) in zip(rows, sample, strict=True):
-        cells = np.frombuffer(data, _CELL)
-        row[cells["slot"]] = cells["share"]
+    sample = seen.filter("features is not null").orderBy("place", "pattern", "features").limit(train_rows).collect()
+    rows = [np.frombuffer(r["features"], _CELL) for r in sample]
     n = sum(counted.values())
     share = (sum(posterior[c] * k for c, k in counted.items()) + 1) / (n + 2)
-    return Model(*train(rows, np.array([posterior[r[0]] for r in sample])), posterior, math.log(share / (1 - share)))
+    return Model(*train(rows, np.array([posterior[r["pattern"]] for r in sample])), posterior, math.log(share / (1 - share)))
 
 
 def quality_scores(docs: DataFrame, train_rows: int = 4096, threshold: float = 0.5) -> DataFrame:
@@ -230,12 +264,14 @@ def quality_scores(docs: DataFrame, train_rows: int = 4096, threshold: float = 0
 
     score: the scorer's P(good) of the whole text; posterior: that of its vote pattern; kept: a score of at least
     `threshold`. A null, empty or blank text has no words and score and posterior 1: nothing speaks against it. Null
-    and repeated doc_ids are rows like any other. An empty table gives an empty result.
+    and repeated doc_ids are rows like any other, other columns are ignored whatever their names, and long texts are
+    judged whole by the same rules as short ones. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows))
 
     def score(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        scores, beliefs = sent.value.scores(byte_texts(batch.column("text")))
+        data = byte_texts(batch.column("text"))
+        scores, beliefs = sent.value.scores(data), sent.value.beliefs(data)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(beliefs), pa.array([s >= threshold for s in scores])], ["doc_id", "score", "posterior", "kept"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -245,4 +281,4 @@ def quality_scores(docs: DataFrame, train_rows: int = 4096, threshold: float = 0
 def quality_filter(docs: DataFrame, train_rows: int = 4096, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns, that `quality_scores` keeps."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows))
-    return keep_rows(docs, lambda texts: [s >= threshold for s in sent.value.scores(byte_texts(texts))[0]])
+    return keep_rows(docs, lambda texts: [s >= threshold for s in sent.value.scores(byte_texts(texts))])

@@ -142,6 +142,58 @@ def test_em_finds_the_better_labeller():
     assert at[(1, 1, 1, 2)] > 0.9 > 0.1 > at[(2, 2, 2, 1)]
 
 
+def plain_em(rows, rounds):
+    """EM over single rows in plain Python, the bad class without rows that have no vote against them."""
+    good = [1.0 if 2 not in r else 0.5 ** r.count(2) * (r.count(2) < len(r)) for r in rows]
+    unseen = [[0.0] * 3 for _ in rows[0]]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(rows) + 2)
+        shares = []
+        for weights, extra in ((good, [[0.0] * 3] * len(unseen)), ([1 - g for g in good], unseen)):
+            tallies = [[1 + extra[k][v] + sum(w for w, r in zip(weights, rows, strict=True) if r[k] == v) for v in range(3)] for k in range(len(rows[0]))]
+            shares.append([[x / sum(t) for x in t] for t in tallies])
+        silent = 1.0
+        for labeller in shares[1]:
+            silent *= 1 - labeller[2]
+        fresh = []
+        for r in rows:
+            a, b = prior, (1 - prior) / (1 - silent)
+            for k, v in enumerate(r):
+                a, b = a * shares[0][k][v], b * shares[1][k][v]
+            fresh.append(1.0 if 2 not in r else a / (a + b))
+        missing = sum(1 - g for g in fresh) * silent / (1 - silent)
+        unseen = [[missing * x[0] / (1 - x[2]), missing * x[1] / (1 - x[2]), 0.0] for x in shares[1]]
+        good = fresh
+    return good
+
+
+@pytest.mark.parametrize("rounds", [1, 7, 40])
+def test_em_over_patterns_is_em_over_rows(rounds):
+    rng = random.Random(rounds)
+    rows = []
+    for _ in range(300):
+        bad = rng.random() < 0.3
+        rows.append(tuple(rng.choices([0, 1, 2], [2, 1, 3] if bad and k < 3 else [3, 5, 0.3])[0] for k in range(5)))
+    patterns, inverse, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    found = quality.estimate(patterns, counts.astype(float), rounds)
+    assert np.allclose(found[inverse.ravel()], plain_em(rows, rounds), atol=2e-6)
+
+
+def test_votes_do_not_change_with_the_length_alone():
+    rng = random.Random(31)
+    for text in (prose(rng, 400), "buy now! " * 100, "".join(rng.choice("#$%ab \n") for _ in range(3000)), "one two three four. " * 50):
+        own = [quality.votes(x, x.split()) for x in ((text + "\n").encode() * k for k in (1, 3, 30))]
+        assert len(set(own)) == 1
+
+
+def test_the_sample_does_not_depend_on_the_partitions(spark):
+    rng = random.Random(32)
+    docs = frame(spark, [prose(rng, 40) for _ in range(150)] + [f"@@ ## {k} !! $$ %% " * 6 for k in range(50)])
+    some = [{r.doc_id: (r.score, r.posterior) for r in quality.quality_scores(docs.repartition(n), train_rows=30).collect()} for n in (1, 5)]
+    assert some[0] == some[1]
+    assert min(s for k, (s, _) in some[0].items() if k < 150) > 0.5 > max(s for k, (s, _) in some[0].items() if k >= 150)
+
+
 def test_where_nothing_is_bad_all_stays(spark):
     rng = random.Random(3)
     docs = frame(spark, [prose(rng, 60) for _ in range(40)] + ["Word.", "", None])
