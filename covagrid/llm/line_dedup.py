@@ -1,9 +1,12 @@
 """Repeated passages removed by overlapping three-line windows; DataFrame functions only.
 
-Every three consecutive lines are hashed. A window that occurs more than once in all documents keeps its first
-occurrence (smallest doc_id, then place); the lines of its later ones are covered, and covered lines that touch merge to
-spans, which are cut from the text. Equal windows collapse to one row before the shuffle, and the windows then join
-the table of repeated ones, a join whose hot keys Spark splits.
+A text is cut into short lines, which end with a line feed or with the end of a sentence. Two kinds of windows are
+hashed: every three consecutive short lines with enough characters, white space around each left out, and every three
+whole lines as they are. A window that occurs more than once in all documents keeps its first occurrence (smallest doc_id,
+then place); the short lines of its later ones are covered, and covered lines that touch merge to spans, which are cut
+from the text. Hashes that occur once, which most do, are dropped after an exchange of the bare hashes; equal hashes
+collapse to one row before it, and the occurrences of the others join the table of repeated ones, a join whose hot keys
+Spark splits. Only rows with spans need their text's pieces, and the spans are sent to all tasks while they are few.
 """
 
 from __future__ import annotations
@@ -11,68 +14,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covagrid.llm.common import cut
+from covagrid.llm.common import cut, sized
 
+WHITE = " \n"
 
-def _windows(texts: DataFrame, width: int) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    cells = texts.select("doc_id", "version", lines.alias("lines")).filter(F.size("lines") >= width)
 
-    def window(at: Column) -> Column:
-        some = [F.element_at("lines", (at + i).cast("int")) for i in range(1, width + 1)]
-        blank = F.lit(True)
-        for line in some:
-            blank = blank & (F.trim(line) == "")
-        return F.struct(at.cast("int").alias("at"), F.xxhash64(*some).alias("h1"), F.xxhash64(F.lit("second"), *some[::-1]).alias("h2"), blank.alias("blank"))
+def short_lines(text: Column) -> Column:
+    """Pieces that make up the text: each ends with a line feed, or with a mark that ends a sentence and a space."""
+    return F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)
 
-    every = cells.select("doc_id", "version", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - width), window)).alias("w"))
-    return every.filter(~F.col("w.blank")).select("doc_id", "version", "w.at", "w.h1", "w.h2")
 
+def _hashes(kind: str, parts: list[Column], wide: bool) -> list[Column]:
+    return [F.xxhash64(F.lit(kind), *parts).alias("h1"), *([F.xxhash64(F.lit(f"second {kind}"), *parts[::-1]).alias("h2")] if wide else [])]
 
-def covered_spans(texts: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, version, spans): merged line ranges [start, end) that later occurrences cover, of documents with any."""
-    windows = _windows(texts, width)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "at")
+
+def _windows(texts: DataFrame, width: int, least_chars: int, wide: bool) -> DataFrame:
+    """doc_id, version, begin, end (numbers of short lines) and hashes of every window; not wide: of hashes h1 only."""
+    cells = texts.select("doc_id", "version", short_lines(F.col("text")).alias("p"))
+    n = F.size("p")
+    ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.endswith(F.get("p", i), F.lit("\n")) | (i == n - 1))
+    cells = cells.withColumns({"t": F.transform("p", lambda x: F.btrim(x, F.lit(WHITE))), "e": ends})
+
+    def short(i: Column) -> Column:
+        some = [F.get("t", i + k) for k in range(width)]
+        size = sum((F.length(x) for x in some[1:]), F.length(some[0]))
+        return F.struct(i.alias("begin"), (i + width).alias("end"), (size >= least_chars).alias("counts"), *_hashes("short", some, wide))
+
+    def whole(j: Column) -> Column:
+        begin = F.when(j == 0, 0).otherwise(F.get("e", j - 1) + 1)
+        end = F.get("e", j + width - 1) + 1
+        body = F.array_join(F.slice("p", begin + 1, end - begin), "")
+        body = F.when(F.endswith(body, F.lit("\n")), F.left(body, F.length(body) - 1)).otherwise(body)
+        return F.struct(begin.alias("begin"), end.alias("end"), (F.btrim(body, F.lit(WHITE)) != "").alias("counts"), *_hashes("whole", [body], wide))
+
+    def every(over: str, window) -> Column:
+        return F.when(F.size(over) >= width, F.filter(F.transform(F.sequence(F.lit(0), F.size(over) - width), window), lambda w: w["counts"])).otherwise(F.array())
+
+    # a short line that is a whole one makes equal windows of both kinds, which cover the same
+    found = cells.select("doc_id", "version", F.explode(F.concat(every("t", short), every("e", whole))).alias("w"))
+    names = ["doc_id", "version", "w.begin", "w.end", "w.h1", "w.h2"] if wide else ["w.h1"]
+    return found.select(*names)
+
+
+def covered_spans(texts: DataFrame, width: int = 3, least_chars: int = 100) -> DataFrame:
+    """(doc_id, version, spans): merged ranges [start, end) of short lines that later occurrences cover, of documents with any."""
+    hashes = _windows(texts, width, least_chars, wide=False).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hashes = cut(hashes.select("h1"), "hashes")
+    windows = cut(_windows(texts, width, least_chars, wide=True).join(sized(hashes), "h1"), "windows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "begin", "end")
     repeated = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = cut(repeated.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.at").alias("first_at")), "repeated")
+    repeated = cut(repeated.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("version") == F.col("first_version"))
-    later = windows.join(repeated, ["h1", "h2"]).filter(~(same & (F.col("at") == F.col("first_at"))))
+    later = windows.join(sized(repeated), ["h1", "h2"]).filter(~(same & (F.col("begin") == F.col("first_begin"))))
     # an occurrence that overlaps its own first one leaves the first one's lines
-    begin = F.when(same, F.greatest("at", F.col("first_at") + width)).otherwise(F.col("at"))
-    marks = later.select("doc_id", "version", (F.col("at") + width).alias("end"), begin.alias("begin"))
-    lists = marks.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("end", "begin"))).alias("m"))
+    begin = F.when(same, F.greatest("begin", "first_end")).otherwise(F.col("begin"))
+    marks = later.select("doc_id", "version", F.explode(F.sequence(begin, F.col("end") - 1)).alias("at"))
+    lists = marks.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("at")).alias("m"))
     m = F.col("m")
-    starts = F.transform(F.filter(m, lambda x, i: (i == 0) | (x["begin"] > F.get(m, i - 1)["end"])), lambda x: x["begin"])
-    ends = F.transform(F.filter(m, lambda x, i: (i == F.size(m) - 1) | (F.get(m, i + 1)["begin"] > x["end"])), lambda x: x["end"])
+    starts = F.filter(m, lambda x, i: (i == 0) | (x > F.get(m, i - 1) + 1))
+    ends = F.transform(F.filter(m, lambda x, i: (i == F.size(m) - 1) | (F.get(m, i + 1) > x + 1)), lambda x: x + 1)
     return lists.select("doc_id", "version", F.arrays_zip(starts.alias("start"), ends.alias("end")).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, width: int = 3, removed: str | None = None) -> DataFrame:
-    """`docs` with the covered lines cut from `text`; its other columns are as they were.
+def dedup_lines(docs: DataFrame, width: int = 3, removed: str | None = None, least_chars: int = 100) -> DataFrame:
+    """`docs` with the covered short lines cut from `text`; its other columns are as they were.
 
-    removed: a name for one more column, the number of lines cut. Lines end at "\\n" and are compared exactly; windows
-    of nothing but white space don't count. Texts of fewer than `width` lines, empty and null ones stay as they are; a
-    text whose lines are all covered becomes empty. Null doc_ids come last in the order of occurrences. Rows that
-    repeat both doc_id and text are one document and keep the same lines; rows that repeat a doc_id with different texts
-    are ordered by a hash of the text. Other columns may have any names. An empty table gives an empty result.
+    removed: a name for one more column, the number of short lines cut. Windows of nothing but white space don't count,
+    those of short lines only from `least_chars` characters on. Texts of fewer than `width` short lines, empty and null
+    ones stay as they are; a text whose lines are all covered becomes empty. Null doc_ids come last in the order of
+    occurrences. Rows that repeat both doc_id and text are one document and keep the same lines; rows that repeat a doc_id
+    with different texts are ordered by a hash of the text. Other columns may have any names. A long text is cut in one
+    row and takes time in proportion to its length. An empty table gives an empty result.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    spans = covered_spans(rows.select("doc_id", "version", "text"), width)
-    spans = spans.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "spans")
+    spans = covered_spans(rows.select("doc_id", "version", "text").filter("text is not null"), width, least_chars)
+    spans = sized(cut(spans.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "spans"), "spans"))
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["of"]) & (rows["version"] == spans["of_version"]), "left")
-    lines = F.split("text", "\n", -1)
     s, n = F.col("spans"), F.size(F.col("spans"))
-    cells = F.col("lines")
+    cells = F.col("pieces")
 
     def between(i: Column) -> Column:
-        """The lines from the end of a span to the start of the next."""
+        """The short lines from the end of a span to the start of the next."""
         begin = F.when(i == 0, 0).otherwise(F.get(s, i - 1)["end"])
         end = F.when(i == n, F.size(cells)).otherwise(F.get(s, i)["start"])
-        return F.slice(cells, begin + 1, end - begin)
+        return F.array_join(F.slice(cells, begin + 1, end - begin), "")
 
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), n), between))
-    cutting = joined.withColumn("lines", F.when(s.isNotNull(), lines))
-    text = F.when(s.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), n), between), "")
+    cutting = joined.withColumn("pieces", F.when(s.isNotNull(), short_lines(F.col("text"))))
+    text = F.when(s.isNull(), F.col("text")).otherwise(kept)
     gone = F.coalesce(F.aggregate(s, F.lit(0), lambda total, x: total + x["end"] - x["start"]), F.lit(0))
     columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return cutting.select(*columns, *([gone.alias(removed)] if removed else []))

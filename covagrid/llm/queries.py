@@ -83,17 +83,25 @@ SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict
 """
 
 OP4_SQL = r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS body FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3)),
-f AS (
-  SELECT doc_id, pos, first_value(doc_id) OVER o AS first_doc, first_value(pos) OVER o AS first_pos
-  FROM w WHERE trim(body, ' ' || chr(10)) <> '' WINDOW o AS (PARTITION BY body ORDER BY doc_id, pos)
+WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, list_filter(range(len(ps)), lambda i: ends_with(ps[i + 1], chr(10)) OR i = len(ps) - 1) AS es FROM t),
+w AS (
+  SELECT doc_id, b, b + 3 AS e, 'short' || x || chr(1) || y || chr(1) || z AS body
+  FROM (SELECT doc_id, b, trim(ps[b + 1], ' ' || chr(10)) AS x, trim(ps[b + 2], ' ' || chr(10)) AS y, trim(ps[b + 3], ' ' || chr(10)) AS z FROM (SELECT doc_id, ps, unnest(range(0, len(ps) - 2)) AS b FROM l WHERE len(ps) >= 3))
+  WHERE length(x) + length(y) + length(z) >= 100
+  UNION ALL
+  SELECT doc_id, b, e, 'whole' || regexp_replace(body, '\n$', '') AS body
+  FROM (SELECT doc_id, b, e, array_to_string(ps[b + 1 : e], '') AS body FROM (SELECT doc_id, ps, CASE WHEN j = 0 THEN 0 ELSE es[j] + 1 END AS b, es[j + 3] + 1 AS e FROM (SELECT *, unnest(range(0, len(es) - 2)) AS j FROM l WHERE len(es) >= 3)))
+  WHERE trim(body, ' ' || chr(10)) <> ''
+), f AS (
+  SELECT doc_id, b, e, first_value(doc_id) OVER o AS first_doc, first_value(b) OVER o AS first_b, first_value(e) OVER o AS first_e
+  FROM w WINDOW o AS (PARTITION BY body ORDER BY doc_id, b, e)
 ), c AS (
-  SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_doc = doc_id THEN greatest(pos, first_pos + 3) ELSE pos END, pos + 3)) AS pos
-  FROM f WHERE first_doc <> doc_id OR first_pos <> pos
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_doc = doc_id THEN greatest(b, first_e) ELSE b END, e)) AS pos
+  FROM f WHERE first_doc <> doc_id OR first_b <> b
 ), k AS (
-  SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.pos) FILTER (WHERE c.pos IS NULL) AS text, count(c.pos)::INTEGER AS lines_removed
-  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM l) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.pos = x.pos GROUP BY x.doc_id
+  SELECT x.doc_id, string_agg(piece, '' ORDER BY x.pos) FILTER (WHERE c.pos IS NULL) AS text, count(c.pos)::INTEGER AS lines_removed
+  FROM (SELECT doc_id, unnest(ps) AS piece, unnest(range(0, len(ps))) AS pos FROM l) x LEFT JOIN c ON c.doc_id = x.doc_id AND c.pos = x.pos GROUP BY x.doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
 """

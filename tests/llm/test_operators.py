@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from covagrid.llm import exact_dedup as exact
-from covagrid.llm import decontaminate, html_extract, license_scan, packing, quality, simhash, url_filter, warc
+from covagrid.llm import common, decontaminate, html_extract, license_scan, packing, quality, simhash, url_filter, warc
 from covagrid.llm.common import shared_dir
 from covagrid.llm.decontaminate import align, benchmark_matches, codes, decontaminated, gram_hashes, normal
 from covagrid.llm.line_dedup import dedup_lines
@@ -205,28 +205,46 @@ def test_where_nothing_is_bad_all_stays(spark):
 # 4
 
 
-def cut_lines(texts):
-    first, covered = {}, defaultdict(set)
+def cut_lines(texts, least):
+    first, covered, pieces = {}, defaultdict(set), []
     for k, text in enumerate(texts):
-        lines = (text or "").split("\n")
-        for at in range(len(lines) - 2):
-            window = tuple(lines[at : at + 3])
-            if not "".join(window).strip(" "):
+        short = re.sub(r"(\n|[.!?] )", r"\1\0", text or "").split("\0")
+        pieces.append(short)
+        ends = [i for i, x in enumerate(short) if x.endswith("\n") or i == len(short) - 1]
+        windows = [("whole", "".join(short[a:b]).removesuffix("\n"), a, b) for a, b in ((ends[j - 1] + 1 if j else 0, ends[j + 2] + 1) for j in range(len(ends) - 2))]
+        bare = [x.strip(" \n") for x in short]
+        windows += [("short", tuple(bare[i : i + 3]), i, i + 3) for i in range(len(short) - 2) if len("".join(bare[i : i + 3])) >= least]
+        for kind, body, a, b in sorted(windows, key=lambda w: w[2:]):
+            if kind == "whole" and not body.strip(" \n"):
                 continue
-            if window in first:
-                a, b = first[window]
-                covered[k] |= set(range(max(at, b + 3) if a == k else at, at + 3))
+            if (kind, body) in first:
+                doc, end = first[kind, body]
+                covered[k] |= set(range(max(a, end) if doc == k else a, b))
             else:
-                first[window] = (k, at)
-    return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in covered[k]) for k, t in enumerate(texts)]
+                first[kind, body] = (k, b)
+    return [None if t is None else "".join(x for i, x in enumerate(pieces[k]) if i not in covered[k]) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "sent"), [(1, 8 << 20), (2, 8 << 20), (3, 0)])
+def test_line_dedup(spark, seed, sent, monkeypatch):
+    """With tables sent to every task, and merged."""
+    monkeypatch.setattr(common.sized, "__defaults__", (sent,))
     rng = random.Random(seed)
-    texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(50)] + [None, "", "\n\n\n\n", "z\nz\nz\nz\nz\nz\nz", "a\nb"]
+    texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(30)]
+    texts += ["".join(rng.choice(["Ab. ", "Cd! ", "ef", "\n", " "]) for _ in range(rng.randint(0, 16))) for _ in range(40)]
+    texts += [None, "", "\n\n\n\n", "z\nz\nz\nz\nz\nz\nz", "a\nb", "a\nb\nc\n", "a. b. c. a. b. c. a. b. c. "]
+    for least in (1, 6, 100):
+        found = {r.doc_id: r.text for r in dedup_lines(frame(spark, texts), least_chars=least).collect()}
+        assert [found[k] for k in range(len(texts))] == cut_lines(texts, least)
+
+
+def test_a_passage_is_found_whatever_its_lines(spark):
+    rng = random.Random(44)
+    passage = ". ".join(" ".join(rng.choice(VOCABULARY) for _ in range(9)) for _ in range(7)) + ". "
+    texts = [f"{prose(rng, 40)}\n{passage}{prose(rng, 30)}", f"{prose(rng, 30)} {passage.replace('. ', '.' + chr(10))}{prose(rng, 40)}", passage.strip(), prose(rng, 90)]
     found = {r.doc_id: r.text for r in dedup_lines(frame(spark, texts)).collect()}
-    assert [found[k] for k in range(len(texts))] == cut_lines(texts)
+    assert found[0] == texts[0] and found[3] == texts[3]
+    assert [len(found[k].split()) for k in (1, 2)] == [len(texts[1].split()) - 63, 0]
 
 
 # 5
