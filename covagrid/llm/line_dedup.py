@@ -1,12 +1,12 @@
 """Repeated passages removed by overlapping three-line windows; DataFrame functions only.
 
-A text is cut into short lines, which end with a line feed or with the end of a sentence. Two kinds of windows are
-hashed: every three consecutive short lines with enough characters, white space around each left out, and every three
-whole lines as they are. A window that occurs more than once in all documents keeps its first occurrence (smallest doc_id,
-then place); the short lines of its later ones are covered, and covered lines that touch merge to spans, which are cut
-from the text. Hashes that occur once, which most do, are dropped after an exchange of the bare hashes; equal hashes
-collapse to one row before it, and the occurrences of the others join the table of repeated ones, a join whose hot keys
-Spark splits. Only rows with spans need their text's pieces, and the spans are sent to all tasks while they are few.
+A text is cut into short lines, which end with a line feed or with the end of a sentence; white space around them is left
+out of comparisons. Two kinds of windows are hashed: every three consecutive short lines with enough characters, and every
+three whole lines. A window that occurs more than once in all documents keeps its first occurrence (smallest doc_id, then
+place); the short lines of its later ones are covered, and covered lines that touch merge to spans, which are cut from the
+text. Hashes that occur once, which most do, are dropped after an exchange of the bare hashes; equal hashes collapse to
+one row before it, and the occurrences of the others join the table of repeated ones, a join whose hot keys Spark splits.
+Texts are not shuffled while the spans are few enough to be sent to every task.
 """
 
 from __future__ import annotations
@@ -19,53 +19,58 @@ from covagrid.llm.common import cut, sized
 WHITE = " \n"
 
 
-def short_lines(text: Column) -> Column:
-    """Pieces that make up the text: each ends with a line feed, or with a mark that ends a sentence and a space."""
-    return F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)
+_MARK = "\u0001"
 
 
-def _hashes(kind: str, parts: list[Column], wide: bool) -> list[Column]:
-    return [F.xxhash64(F.lit(kind), *parts).alias("h1"), *([F.xxhash64(F.lit(f"second {kind}"), *parts[::-1]).alias("h2")] if wide else [])]
+def short_lines(text: Column) -> Column:
+    """Pieces that make up the text: each ends with a line feed, or with a mark that ends a sentence and a space."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    # a text that has the mark itself takes the slower way
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)).otherwise(F.split(marked, _MARK, -1))
 
 
-def _windows(texts: DataFrame, width: int, least_chars: int, wide: bool) -> DataFrame:
-    """doc_id, version, begin, end (numbers of short lines) and hashes of every window; not wide: of hashes h1 only."""
+def _windows(texts: DataFrame, width: int, least_chars: int) -> DataFrame:
+    """doc_id, version, begin, end (numbers of short lines) and a hash of 128 bits of every window."""
     cells = texts.select("doc_id", "version", short_lines(F.col("text")).alias("p"))
     n = F.size("p")
     ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.endswith(F.get("p", i), F.lit("\n")) | (i == n - 1))
-    cells = cells.withColumns({"t": F.transform("p", lambda x: F.btrim(x, F.lit(WHITE))), "e": ends})
+    cells = cells.select("doc_id", "version", F.transform("p", lambda x: F.btrim(x, F.lit(WHITE))).alias("t"), ends.alias("e"))
+
+    def hashed(kind: str, begin: Column, end: Column) -> Column:
+        some = F.slice("t", begin + 1, end - begin)
+        return F.struct(begin.alias("begin"), end.alias("end"), F.xxhash64(F.lit(kind), some).alias("h1"), F.xxhash64(some, F.lit(kind)).alias("h2"))
+
+    def long(i: Column) -> Column:
+        return sum((F.length(F.get("t", i + k)) for k in range(1, width)), F.length(F.get("t", i))) >= least_chars
 
-    def short(i: Column) -> Column:
-        some = [F.get("t", i + k) for k in range(width)]
-        size = sum((F.length(x) for x in some[1:]), F.length(some[0]))
-        return F.struct(i.alias("begin"), (i + width).alias("end"), (size >= least_chars).alias("counts"), *_hashes("short", some, wide))
+    def starts(j: Column) -> Column:
+        return F.when(j == 0, 0).otherwise(F.get("e", j - 1) + 1)
 
-    def whole(j: Column) -> Column:
-        begin = F.when(j == 0, 0).otherwise(F.get("e", j - 1) + 1)
-        end = F.get("e", j + width - 1) + 1
-        body = F.array_join(F.slice("p", begin + 1, end - begin), "")
-        body = F.when(F.endswith(body, F.lit("\n")), F.left(body, F.length(body) - 1)).otherwise(body)
-        return F.struct(begin.alias("begin"), end.alias("end"), (F.btrim(body, F.lit(WHITE)) != "").alias("counts"), *_hashes("whole", [body], wide))
+    def full(j: Column) -> Column:
+        begin = starts(j)
+        return F.exists(F.slice("t", begin + 1, F.get("e", j + width - 1) + 1 - begin), lambda x: x != "")
 
-    def every(over: str, window) -> Column:
-        return F.when(F.size(over) >= width, F.filter(F.transform(F.sequence(F.lit(0), F.size(over) - width), window), lambda w: w["counts"])).otherwise(F.array())
+    def every(over: str, counts, window) -> Column:
+        return F.when(F.size(over) >= width, F.transform(F.filter(F.sequence(F.lit(0), F.size(over) - width), counts), window)).otherwise(F.array())
 
-    # a short line that is a whole one makes equal windows of both kinds, which cover the same
-    found = cells.select("doc_id", "version", F.explode(F.concat(every("t", short), every("e", whole))).alias("w"))
-    names = ["doc_id", "version", "w.begin", "w.end", "w.h1", "w.h2"] if wide else ["w.h1"]
-    return found.select(*names)
+    short = every("t", long, lambda i: hashed("short", i, i + width))
+    whole = every("e", full, lambda j: hashed("whole", starts(j), F.get("e", j + width - 1) + 1))
+    return cells.select("doc_id", "version", F.explode(F.concat(short, whole)).alias("w")).select("doc_id", "version", "w.begin", "w.end", "w.h1", "w.h2")
 
 
 def covered_spans(texts: DataFrame, width: int = 3, least_chars: int = 100) -> DataFrame:
     """(doc_id, version, spans): merged ranges [start, end) of short lines that later occurrences cover, of documents with any."""
-    hashes = _windows(texts, width, least_chars, wide=False).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hashes = cut(hashes.select("h1"), "hashes")
-    windows = cut(_windows(texts, width, least_chars, wide=True).join(sized(hashes), "h1"), "windows")
+    every = cut(_windows(texts, width, least_chars), "windows")
+    hashes = every.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hashes = cut(hashes.select("h1"), "hashes").hint("merge")
+    windows = cut(every.join(hashes, "h1"), "nominees")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "begin", "end")
     repeated = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = cut(repeated.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")), "repeated")
+    repeated = cut(repeated.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")), "repeated").hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("version") == F.col("first_version"))
-    later = windows.join(sized(repeated), ["h1", "h2"]).filter(~(same & (F.col("begin") == F.col("first_begin"))))
+    later = windows.join(repeated, ["h1", "h2"]).filter(~(same & (F.col("begin") == F.col("first_begin"))))
     # an occurrence that overlaps its own first one leaves the first one's lines
     begin = F.when(same, F.greatest("begin", "first_end")).otherwise(F.col("begin"))
     marks = later.select("doc_id", "version", F.explode(F.sequence(begin, F.col("end") - 1)).alias("at"))

@@ -90,9 +90,9 @@ w AS (
   FROM (SELECT doc_id, b, trim(ps[b + 1], ' ' || chr(10)) AS x, trim(ps[b + 2], ' ' || chr(10)) AS y, trim(ps[b + 3], ' ' || chr(10)) AS z FROM (SELECT doc_id, ps, unnest(range(0, len(ps) - 2)) AS b FROM l WHERE len(ps) >= 3))
   WHERE length(x) + length(y) + length(z) >= 100
   UNION ALL
-  SELECT doc_id, b, e, 'whole' || regexp_replace(body, '\n$', '') AS body
-  FROM (SELECT doc_id, b, e, array_to_string(ps[b + 1 : e], '') AS body FROM (SELECT doc_id, ps, CASE WHEN j = 0 THEN 0 ELSE es[j] + 1 END AS b, es[j + 3] + 1 AS e FROM (SELECT *, unnest(range(0, len(es) - 2)) AS j FROM l WHERE len(es) >= 3)))
-  WHERE trim(body, ' ' || chr(10)) <> ''
+  SELECT doc_id, b, e, 'whole' || body AS body
+  FROM (SELECT doc_id, b, e, array_to_string(list_transform(ps[b + 1 : e], lambda x: trim(x, ' ' || chr(10))), chr(1)) AS body FROM (SELECT doc_id, ps, CASE WHEN j = 0 THEN 0 ELSE es[j] + 1 END AS b, es[j + 3] + 1 AS e FROM (SELECT *, unnest(range(0, len(es) - 2)) AS j FROM l WHERE len(es) >= 3)))
+  WHERE trim(body, chr(1)) <> ''
 ), f AS (
   SELECT doc_id, b, e, first_value(doc_id) OVER o AS first_doc, first_value(b) OVER o AS first_b, first_value(e) OVER o AS first_e
   FROM w WINDOW o AS (PARTITION BY body ORDER BY doc_id, b, e)

@@ -211,11 +211,11 @@ def cut_lines(texts, least):
         short = re.sub(r"(\n|[.!?] )", r"\1\0", text or "").split("\0")
         pieces.append(short)
         ends = [i for i, x in enumerate(short) if x.endswith("\n") or i == len(short) - 1]
-        windows = [("whole", "".join(short[a:b]).removesuffix("\n"), a, b) for a, b in ((ends[j - 1] + 1 if j else 0, ends[j + 2] + 1) for j in range(len(ends) - 2))]
         bare = [x.strip(" \n") for x in short]
+        windows = [("whole", tuple(bare[a:b]), a, b) for a, b in ((ends[j - 1] + 1 if j else 0, ends[j + 2] + 1) for j in range(len(ends) - 2))]
         windows += [("short", tuple(bare[i : i + 3]), i, i + 3) for i in range(len(short) - 2) if len("".join(bare[i : i + 3])) >= least]
         for kind, body, a, b in sorted(windows, key=lambda w: w[2:]):
-            if kind == "whole" and not body.strip(" \n"):
+            if not any(body):
                 continue
             if (kind, body) in first:
                 doc, end = first[kind, body]
@@ -232,7 +232,7 @@ def test_line_dedup(spark, seed, sent, monkeypatch):
     rng = random.Random(seed)
     texts = ["\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 14))) for _ in range(30)]
     texts += ["".join(rng.choice(["Ab. ", "Cd! ", "ef", "\n", " "]) for _ in range(rng.randint(0, 16))) for _ in range(40)]
-    texts += [None, "", "\n\n\n\n", "z\nz\nz\nz\nz\nz\nz", "a\nb", "a\nb\nc\n", "a. b. c. a. b. c. a. b. c. "]
+    texts += [None, "", "\n\n\n\n", "z\nz\nz\nz\nz\nz\nz", "a\nb", "a\nb\nc\n", "a. b. c. a. b. c. a. b. c. ", "a. b\x01. c. a. b\x01. c. \x01"]
     for least in (1, 6, 100):
         found = {r.doc_id: r.text for r in dedup_lines(frame(spark, texts), least_chars=least).collect()}
         assert [found[k] for k in range(len(texts))] == cut_lines(texts, least)
