@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from covagrid.llm.common import cut
+from covagrid.llm.common import cut, sized
 
 END_OF_DOCUMENT = 1
 _LETTERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
@@ -176,7 +176,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     per_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     per_task = cut(per_task, "counts")
     ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut(per_task.select("length", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")), "ranks")
+    before = sized(cut(per_task.select("length", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before")), "ranks"))
     # one row for each length, so at most `capacity` rows
     counts = {r[0]: r[1] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit(counts, capacity)
@@ -201,8 +201,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept) for every piece of every document.
 
-    A null or empty text is its end mark alone. Null and repeated doc_ids are documents like any other. An empty table
-    gives an empty result.
+    A null or empty text is its end mark alone. Null and repeated doc_ids are documents like any other, long texts are
+    encoded whole and then cut, and other columns are ignored whatever their names. An empty table gives an empty result.
     """
     pieces = cut(token_pieces(docs, tokenizer_path, capacity, keep_ids), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids]

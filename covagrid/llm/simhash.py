@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covagrid.llm.common import byte_texts, cut, keep_numbered, map_batches
+from covagrid.llm.common import byte_texts, cut, keep_numbered, made, map_batches, release
 
 SEED = 42
 #: Byte -> its eight bits in the eight byte lanes of a 64-bit word.
@@ -240,7 +240,9 @@ def links(prints: DataFrame, anchors: Anchors, most: int = 4096) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(values[index].view(np.int64)), pa.array(lives)], ["anchor", "print", "lives"])
 
     threshold = anchors.threshold
-    replicas = map_batches(prints.select("print"), spread, "anchor long, print long, lives boolean")
+    # a print is a few bytes but makes many replicas: adaptive execution would leave them to a task or two
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.sparkSession.sparkContext.defaultParallelism)
+    replicas = map_batches(prints.select("print").repartition(tasks, "print"), spread, "anchor long, print long, lives boolean")
     first = cut(_links(replicas, "anchor", threshold, most), "links")
     wide = first.filter("anchor is not null").select("anchor", "print", "lives")
     sides = wide.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(most / 2)).cast("int").alias("sides"))
@@ -260,6 +262,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps, each over the edge table only, until the edges are stars.
     """
     now = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct(), "edges")
+    past = made()[-1]
     mark = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -268,6 +271,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         root = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(root, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
         now = cut(small, "stars")
+        release(now.sparkSession, [past])  # only this step read it
+        past = made()[-1]
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
@@ -287,7 +292,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors()
 
     component_id is the smallest doc_id that links reach, a fingerprint's own documents included. A null or empty
     text, or one of white space, has fingerprint zero and is linked like any other. Null doc_ids are passed over by the
-    smallest; repeated rows are separate rows of one component. An empty table gives an empty result.
+    smallest; repeated rows are separate rows of one component. Long texts are read whole, and other columns are ignored
+    whatever their names. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words), "prints")
     nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
@@ -300,7 +306,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors()
 def simhash_dedup(docs: DataFrame, words: int = 4, anchors: Anchors = Anchors(), most: int = 4096) -> DataFrame:
     """The rows of `docs`, all columns, that stay: of each component the one with the smallest doc_id.
 
-    Null doc_ids come last; of rows that tie one stays.
+    Null doc_ids come last; of rows that tie one stays. Other columns may have any names.
     """
     rows = cut(fingerprints(docs, words, rows=True).withColumn("row_no", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")

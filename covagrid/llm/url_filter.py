@@ -2,8 +2,9 @@
 
 A listed entry ``example.com/en/7`` fits a URL whose host is example.com or a subdomain of it and whose path starts
 with ``/en/7``. So each URL has as many candidate entries as it has host suffixes times listed path lengths. The entries
-set 8 bits in one 256-bit block each; a candidate joins the filter by its block number, and only candidates whose bits
-are all set go on to the exact join with the list, which removes the false positives.
+set 8 bits in one 256-bit block each; a candidate finds its block in the filter, which is sent to every task up to a size and
+joined by block number beyond it, and only candidates whose bits are all set go on to the exact join with the list, which
+removes the false positives. So candidates are not shuffled while the list has fewer than some two million entries.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covagrid.llm.common import cut
+from covagrid.llm.common import cut, sized
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -63,9 +64,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     `rules` has rule (``host/path``) and verdict. The longest rule that fits decides, of equally long ones the one with
     the longest path, then the alphabetically first; of rows that repeat a rule the alphabetically first verdict. Where
     none fits, rule is null and the verdict is `default`. Null URLs and those without ``://`` have an empty host and
-    path and fit no rule; rules that are null or without a host fit nothing. Repeated pages are judged each; empty
-    tables give an empty result or the default throughout. A URL's cost is its host labels times the distinct lengths
-    of the rules' paths.
+    path and fit no rule; rules that are null or without a host fit nothing. Null page_ids and repeated pages are judged
+    each, other columns are ignored whatever their names; empty tables give an empty result or the default throughout.
+    A URL's cost is its host labels times the distinct lengths of the rules' paths, however long it is.
     """
     known = rules.filter(F.col("rule").isNotNull() & ~F.col("rule").startswith("/") & (F.col("rule") != ""))
     listed = cut(known.groupBy("rule").agg(F.min("verdict").alias("rule_verdict")), "rules")
@@ -81,10 +82,12 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     prefixes = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("p")) for n in lengths)), lambda x: F.length(x["p"]) == x["n"])
     if not lengths:
         return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    distinct = judged.filter("host <> ''").select("host", "path").distinct()
-    candidates = distinct.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", F.explode("prefixes").alias("prefix"), "suffix").select("host", "path", F.concat("suffix", "prefix.p").alias("rule"), F.col("prefix.n").alias("n")).filter("suffix <> ''")
-    hits = maybe_listed(candidates, "rule", blocks, n_blocks).join(listed, "rule")
+    known = judged.filter("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+    candidates = known.select("host", "path", F.explode("prefixes").alias("prefix"), "suffix").select("host", "path", F.concat("suffix", "prefix.p").alias("rule"), F.col("prefix.n").alias("n")).filter("suffix <> ''")
+    # what the filter passes is little: only that is made distinct and shuffled
+    passed = cut(maybe_listed(candidates, "rule", sized(blocks), n_blocks).distinct(), "passed")
+    hits = passed.join(sized(listed), "rule")
     # max wants the alphabetically first last: compare the negated place among equals by keeping the smallest
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("l"), (-F.col("n")).alias("n"), "rule", "rule_verdict")).alias("best"))
-    best = cut(best.select("host", "path", "best.rule", "best.rule_verdict"), "verdicts")
+    best = sized(cut(best.select("host", "path", "best.rule", "best.rule_verdict"), "verdicts"))
     return judged.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))

@@ -136,6 +136,8 @@ def spans(rows: list[tuple[str, int, int]], gap: int, most: int) -> list[tuple[s
 def read_warc(index: DataFrame, payloads: bool = True, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
     """Read the records of the rows of `index`: page_id, record_type, refers_to, payload_bytes, payload_digest, payload.
 
+    Reads are dealt out by the bytes of the records, of which a task gets about `most`: the index itself is far smaller.
+
     Bytes and digest of a response are those of the payload that was read, which must agree with its digest field. A
     revisit has the digest field's value and null bytes and payload. Rows that repeat an index row are read again.
     """
@@ -161,14 +163,17 @@ def read_warc(index: DataFrame, payloads: bool = True, gap: int = 1 << 16, most:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
-    selected = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // most + 1
+    selected = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return selected.mapInArrow(read, READ)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives.
 
-    A revisit's size is that of the response it refers to. `folder` is a new one in the shared folder unless given.
+    A revisit's size is that of the response it refers to. `folder` is a new one in the shared folder unless given. Null
+    page_ids and repeated rows are pages like any other, long pages are records like any other, and other columns are
+    ignored whatever their names. An empty table gives an empty result.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     back = cut(read_warc(write_warc(pages, folder, min_revisit_bytes), payloads=False).drop("payload"), "read")
