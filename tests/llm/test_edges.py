@@ -2,17 +2,21 @@
 
 import corpus_pipeline
 import pytest
+from covagrid.llm.common import made, shared_dir
 from covagrid.llm.decontaminate import benchmark_matches, decontaminated
 from covagrid.llm.exact_dedup import exact_dedup
 from covagrid.llm.html_extract import main_texts
 from covagrid.llm.license_scan import license_notices
 from covagrid.llm.line_dedup import dedup_lines
+from covagrid.llm.near_copies import near_dedup
 from covagrid.llm.packing import pack_documents
 from covagrid.llm.quality import quality_filter, quality_scores
 from covagrid.llm.queries import RULES, tokenizer_path
 from covagrid.llm.simhash import simhash_dedup, simhash_groups
 from covagrid.llm.url_filter import url_verdicts
 from covagrid.llm.warc import warc_round_trip
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 LONG = "word " * 60_000 + "\n" + "\n".join(f"line {k % 50}" for k in range(20_000))
 CLASH = "print string, row string, version int, spans string, task int, place int, chosen string, ids string, item_id int, of string, lines string, h1 long"
@@ -39,15 +43,33 @@ DOCUMENT_OPERATORS = {
     "decontaminated": lambda s, d: decontaminated(d, items(s)),
     "simhash": lambda s, d: simhash_groups(d),
     "simhash_dedup": lambda s, d: simhash_dedup(d),
+    "near_dedup": lambda s, d: near_dedup(d),
 }
 #: How many rows come of ROWS.
-COUNTS = {"quality": 10, "lines": 10, "exact": 10, "simhash": 10, "matches": 4, "decontaminated": 6, "licenses": 0}
+COUNTS = {"quality": 10, "lines": 10, "exact": 10, "simhash": 10, "matches": 4, "decontaminated": 6, "licenses": 0, "simhash_dedup": 5, "near_dedup": 5, "quality_filter": 6, "pack": 236}
 
 
 @pytest.mark.parametrize("name", sorted(DOCUMENT_OPERATORS))
 def test_odd_documents(spark, name):
-    out = DOCUMENT_OPERATORS[name](spark, docs(spark)).collect()
-    assert len(out) == COUNTS.get(name, len(out))
+    assert len(DOCUMENT_OPERATORS[name](spark, docs(spark)).collect()) == COUNTS[name]
+
+
+def test_every_piece_of_odd_documents_is_packed(spark):
+    ids_of = Tokenizer.from_file(tokenizer_path())
+    sizes = [len(ids_of.encode(text or "", add_special_tokens=False).ids) + 1 for _, text in ROWS]
+    packed = DOCUMENT_OPERATORS["pack"](spark, docs(spark)).collect()
+    assert len(packed) == sum(-(-n // 512) for n in sizes) and sum(r.length for r in packed) == sum(sizes)
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    """What stands at the end of a text of a million characters counts."""
+    tail = "Licensed under the MIT License."
+    long = docs(spark, [(1, "ab cd " * 200_000 + "\n" + tail), (2, "ab cd " * 200_000 + "\n" + tail[:-1] + "!"), (3, "ab cd " * 200_000 + "\n" + tail)])
+    assert sorted(r.start for r in license_notices(long).filter("license = 'MIT'").collect()) == [1_200_001] * 3
+    assert sorted((r.doc_id, r.edits) for r in benchmark_matches(long, items(spark, [(0, tail)])).collect()) == [(1, 0), (2, 1), (3, 0)]
+    assert {r.doc_id: r.keep_id for r in exact_dedup(long).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id for r in near_dedup(long).collect()} == {1, 2}
+    assert len({r.fingerprint for r in simhash_groups(long).collect()}) == 1
 
 
 @pytest.mark.parametrize("name", sorted(DOCUMENT_OPERATORS))
@@ -76,7 +98,7 @@ def test_repeated_rows_and_null_ids_are_told_apart(spark):
 
 
 def test_all_columns_stay(spark):
-    for name in ("quality_filter", "lines", "decontaminated", "simhash_dedup"):
+    for name in ("quality_filter", "lines", "decontaminated", "simhash_dedup", "near_dedup"):
         assert DOCUMENT_OPERATORS[name](spark, docs(spark)).columns == docs(spark).columns
 
 
@@ -97,6 +119,31 @@ def test_odd_pages(spark, rows):
         assert types.count("response") == 4
 
 
+@pytest.mark.parametrize("rows", [[], ROWS])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = set(made())
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").select("doc_id", "piece").collect()
+    # texts of single letters and of one word go first, blank texts are one group, another text is an item
+    assert sorted({r.doc_id for r in out}) == ([2, 6] if rows else [])
+    left = [path for path in made() if path not in before]
+    assert {path.rpartition("/")[2].split("-")[1] for path in left} <= {"decontamination", "pieces", "counts", "ranks"}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_pipeline_stages_agree_with_run(spark, small):
     frame, sizes = spark.read.parquet(f"{small}/documents.parquet"), []
     columns = frame.columns
