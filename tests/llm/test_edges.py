@@ -15,7 +15,6 @@ from covagrid.llm.queries import RULES, tokenizer_path
 from covagrid.llm.simhash import simhash_dedup, simhash_groups
 from covagrid.llm.url_filter import url_verdicts
 from covagrid.llm.warc import warc_round_trip
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LONG = "word " * 60_000 + "\n" + "\n".join(f"line {k % 50}" for k in range(20_000))
@@ -69,7 +68,8 @@ def test_a_very_long_text_is_read_whole(spark):
     assert sorted((r.doc_id, r.edits) for r in benchmark_matches(long, items(spark, [(0, tail)])).collect()) == [(1, 0), (2, 1), (3, 0)]
     assert {r.doc_id: r.keep_id for r in exact_dedup(long).collect()} == {1: 1, 2: 2, 3: 1}
     assert {r.doc_id for r in near_dedup(long).collect()} == {1, 2}
-    assert len({r.fingerprint for r in simhash_groups(long).collect()}) == 1
+    prints = {r.doc_id: r.fingerprint for r in simhash_groups(long).collect()}
+    assert prints[1] == prints[3] != prints[2]  # the bits of two shingles that alternate tie but for the end
 
 
 @pytest.mark.parametrize("name", sorted(DOCUMENT_OPERATORS))
