@@ -32,8 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of rows that go to a Python worker at once; a batch of ten thousand long texts would take a multiple of this memory.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold up to BATCH_BYTES, or less if it says so."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, f"{BATCH_BYTES + 1}b"))) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; what is still there when the process ends is deleted then."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/covagrid-{tag}-{uuid.uuid4().hex}"
     if not _made:
         atexit.unregister(_sweep)
@@ -93,6 +105,7 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with a function of one batch."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
