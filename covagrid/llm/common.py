@@ -124,8 +124,8 @@ def keep_rows(df: DataFrame, mask: Callable[[pa.Array], list[bool]]) -> DataFram
     return map_batches(df, each, df.schema)
 
 
-def keep_numbered(rows: DataFrame, numbers: DataFrame, tag: str) -> DataFrame:
-    """The rows of `rows` whose row_no is in `numbers`, without a shuffle of `rows`.
+def keep_numbered(rows: DataFrame, numbers: DataFrame, tag: str, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None, schema=None) -> DataFrame:
+    """The rows of `rows` whose row_no is in `numbers`, without a shuffle of `rows`; or what `each` makes of them.
 
     row_no comes from monotonically_increasing_id, so it rises within each task's part of a written table. The numbers
     are sorted and written; a task then reads only the files whose range its own rows touch, by an index that has a
@@ -152,6 +152,10 @@ def keep_numbered(rows: DataFrame, numbers: DataFrame, tag: str) -> DataFrame:
                     if first <= high and last >= low:
                         keep |= own & np.isin(mine, held(uri))
             if keep.any():
-                yield batch.filter(pa.array(keep))
+                kept = batch.filter(pa.array(keep))
+                if each is None:
+                    yield kept
+                else:  # here and not in a second map, which would keep a second worker busy
+                    yield from each(kept)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, rows.schema if each is None else schema)

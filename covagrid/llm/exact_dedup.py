@@ -107,10 +107,10 @@ def _collisions(raw: DataFrame, prints: DataFrame, groups: DataFrame, chunk: int
             yield _batch(rows, _CHUNKS)
 
     nominees = prints.join(groups, ["print", "norm_bytes"]).select("row_no", "print")
-    bodies = keep_numbered(raw.select("row_no", "print", "norm_bytes", "piece_no", "body"), nominees, "nominees")
-    small = bodies.filter("print is not null").drop("row_no")
-    huge = bodies.filter("print is null").drop("print").join(nominees, "row_no").select(small.columns)
-    compared = map_batches(small.unionByName(huge), chunks, _CHUNKS).groupBy("print", "norm_bytes", "at").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    columns = ["print", "norm_bytes", "piece_no", "body"]
+    small = keep_numbered(raw.filter("print is not null").select("row_no", *columns), nominees, "nominees", chunks, _CHUNKS)
+    huge = raw.filter("print is null").drop("print").join(nominees, "row_no").select(columns)
+    compared = small.unionByName(map_batches(huge, chunks, _CHUNKS)).groupBy("print", "norm_bytes", "at").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     return compared.filter("low <> high").select("print", "norm_bytes").distinct()
 
 

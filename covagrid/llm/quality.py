@@ -34,7 +34,7 @@ STOP_WORDS = frozenset(
     "el los las y en que de un una es por con para no su al lo como más del se".encode().split()
 )
 DIMENSIONS = 1 << 18
-_HELD_WORDS = 100_000
+_HELD_WORDS = 50_000
 #: So many words count half.
 EVIDENCE = 4
 #: Words of a stretch in which variety is measured, so that it doesn't fall with the length of a text.
