@@ -7,16 +7,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from covagrid.errors import UnsortedInput
 from covagrid.operators.cells import explode_cells, explode_operations
 from covagrid.operators.depth import cap_depth
-from covagrid.operators.filters import filter_reads, in_intervals
+from covagrid.operators.filters import filter_reads, in_intervals, unsorted_reads
 from covagrid.operators.outputs import KEYS, Histogram, Pileup, PileupOutput
 from covagrid.operators.qualities import apply_bq, merge_overlaps
 from covagrid.operators.realign import realign
 from covagrid.params import BY_REFERENCE, COVERED, PileupParams
 from covagrid.sources.fasta import build_index, chunked, read_fasta
 from covagrid.sources.regions import resolve
-from covagrid.sources.sam import read_sam
+from covagrid.sources.sam import is_bam, read_sam
 
 
 class PileupEngine:
@@ -29,14 +30,20 @@ class PileupEngine:
         self.spark, self.params, self.reference = spark, params, reference
 
     def submit(self, source: str | DataFrame, refs: list[tuple[int, str, int]] | None = None) -> PileupQuery:
-        """source: the path of a SAM or BAM file, or a table of reads with its references (tid, name, length)."""
+        """source: the path of a SAM or BAM file, told apart by how it begins, or a table of reads with its references (tid, name, length).
+
+        SAM files must be sorted, which one pass over reference and position of their reads checks; an index says so of BAM.
+        """
         if isinstance(source, str):
-            if source.endswith(".bam"):
+            if is_bam(source):
                 from covagrid.sources.bam import read_bam
 
                 source, refs = read_bam(self.spark, source, self.params.regions)
             else:
                 source, refs = read_sam(self.spark, source)
+                wrong = unsorted_reads(source).first()
+                if wrong is not None:
+                    raise UnsortedInput(f"the read at {refs[wrong['tid']][1]}:{wrong['pos'] + 1} starts before the one ahead of it")
         return PileupQuery(self, source, refs or [])
 
 

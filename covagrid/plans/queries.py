@@ -12,6 +12,7 @@ from covagrid.operators.filters import admissible, filter_reads, in_intervals, m
 from covagrid.operators.cells import operations
 from covagrid.operators.qualities import apply_bq, merge_overlaps
 from covagrid.params import BY_REFERENCE, EVERYTHING, Flag, PileupParams
+from covagrid.plans import file_queries
 from covagrid.plans.engine import PileupEngine, PileupQuery
 from covagrid.plans.read_view import CELLS_SQL, GAP, INS, PLP_SQL, REFS, read_view, reference
 from covagrid.sources.regions import chunks, resolve
@@ -139,6 +140,50 @@ _COORDINATES = "spine AS (SELECT name AS chrom, tid, unnest(range(2700)) AS p FR
 _DEPTH = f"{CELLS_SQL} SELECT rname AS chrom, p + 1 AS pos, count(*) FILTER (WHERE quality >= {{0}}) AS depth FROM cells GROUP BY rname, p"
 _INDELS = "coalesce((SELECT string_agg(c || s, ' ' ORDER BY c || s) FROM (SELECT count(*)::VARCHAR AS c, s FROM unnest({0}) u(s) GROUP BY s)), '')"
 
+#: Reads of one (reference, name) in order, one waiting at a time: a read meets the waiting one or waits itself.
+OVERLAP_SQL = (
+    "WITH RECURSIVE" + CELLS_SQL.lstrip().removeprefix("WITH")
+    + """, paired AS (SELECT *, row_number() OVER (PARTITION BY tid, l_orderkey ORDER BY read_ord, l_partkey, l_suppkey) AS nth FROM kept WHERE flag & 2 = 2),
+walk AS (
+  SELECT tid, l_orderkey, 0::BIGINT AS nth, 0::BIGINT AS waits, 0::BIGINT AS with_nth, 0::BIGINT AS waits_to FROM (SELECT DISTINCT tid, l_orderkey FROM paired)
+  UNION ALL
+  SELECT w.tid, w.l_orderkey, p.nth, CASE WHEN w.waits > 0 AND w.waits_to > p.pos THEN 0 ELSE p.nth END, CASE WHEN w.waits > 0 AND w.waits_to > p.pos THEN w.waits ELSE 0 END, p.stop
+  FROM walk w JOIN paired p ON p.tid = w.tid AND p.l_orderkey = w.l_orderkey AND p.nth = w.nth + 1
+), mates AS (
+  SELECT a.tid, a.rname, a.l_orderkey, a.read_ord AS a_ord, a.l_partkey AS a_part, a.l_suppkey AS a_supp, b.read_ord AS b_ord, b.l_partkey AS b_part, b.l_suppkey AS b_supp,
+         list_reduce(list_transform(string_split(a.l_orderkey::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda h, x: (h * 31 + x) & 4294967295) AS h0
+  FROM walk w JOIN paired a ON a.tid = w.tid AND a.l_orderkey = w.l_orderkey AND a.nth = w.with_nth JOIN paired b ON b.tid = w.tid AND b.l_orderkey = w.l_orderkey AND b.nth = w.nth WHERE w.with_nth > 0
+), h1 AS (SELECT *, (h0 - (h0 << 15) - 1) & 4294967295 AS v FROM mates), h2 AS (SELECT * REPLACE (xor(v, v >> 10) AS v) FROM h1), h3 AS (SELECT * REPLACE ((v + (v << 3)) & 4294967295 AS v) FROM h2),
+h4 AS (SELECT * REPLACE (xor(v, v >> 6) AS v) FROM h3), h5 AS (SELECT * REPLACE ((v - (v << 11) - 1) & 4294967295 AS v) FROM h4), named AS (SELECT *, xor(v, v >> 16) & 1 = 1 AS keeps FROM h5),
+lined AS (SELECT *, (l_suppkey + 3 * q) % 42 AS own FROM cells),
+met AS (
+  SELECT m.rname, m.keeps, a.op AS a_op, b.op AS b_op, a.own AS x, b.own AS y, a.base = b.base AS same
+  FROM named m JOIN lined a ON a.tid = m.tid AND a.read_ord = m.a_ord AND a.l_partkey = m.a_part AND a.l_suppkey = m.a_supp JOIN lined b ON b.tid = m.tid AND b.read_ord = m.b_ord AND b.l_partkey = m.b_part AND b.l_suppkey = m.b_supp AND b.p = a.p
+), changes AS (
+  SELECT rname, CASE WHEN a_op = 'M' AND b_op = 'M' THEN CASE WHEN same THEN least(x + y, 200) ELSE floor(greatest(x, y)::DOUBLE * 0.8::DOUBLE) END - x - y
+                     WHEN a_op = 'M' AND b_op = 'D' THEN CASE WHEN keeps THEN floor(x::DOUBLE * 0.8::DOUBLE) ELSE 0 END - x
+                     WHEN a_op = 'D' AND b_op = 'M' THEN CASE WHEN keeps THEN 0 ELSE floor(y::DOUBLE * 0.8::DOUBLE) END - y ELSE 0 END AS change
+  FROM met
+)
+SELECT rname, count(*) AS n, (sum(q_all) + coalesce((SELECT sum(change) FROM changes c WHERE c.rname = k.rname), 0))::BIGINT AS q_sum
+FROM (SELECT rname, list_sum([(l_suppkey + 3 * i) % 42 for i in range(n)]) AS q_all FROM kept) k GROUP BY rname
+"""
+)
+#: At each position as many of its reads enter as the cap leaves room for, one at least; a read leaves after the position past its end.
+CAP_SQL = (
+    "WITH RECURSIVE" + CELLS_SQL.lstrip().removeprefix("WITH")
+    + """, starts AS (SELECT rname, pos, list(stop ORDER BY read_ord) AS stops FROM kept GROUP BY rname, pos),
+walk AS (
+  SELECT rname, -1::BIGINT AS place, []::BIGINT[] AS live, 0::BIGINT AS n FROM (SELECT DISTINCT rname FROM kept)
+  UNION ALL
+  SELECT rname, place + 1, list_concat(live, stops[1 : enter]), enter
+  FROM (SELECT *, CASE WHEN len(stops) = 0 THEN 0 ELSE least(len(stops), greatest(1, 20 - len(live))) END AS enter
+        FROM (SELECT w.rname, w.place, list_filter(w.live, lambda e: e >= w.place + 1) AS live, coalesce(s.stops, []) AS stops FROM walk w LEFT JOIN starts s ON s.rname = w.rname AND s.pos = w.place + 1 WHERE w.place < 2700))
+)
+SELECT rname, place AS pos, n FROM walk WHERE n > 0
+"""
+)
+
 SQL = {
     "flag_filter": f"{CELLS_SQL} SELECT rname, flag, count(*) AS n FROM reads WHERE flag & 17 <> 0 AND flag & 1024 = 0 GROUP BY rname, flag",
     "orphan_filter": f"{CELLS_SQL} SELECT rname, count(*) AS n, sum(mapq)::BIGINT AS mapq_sum FROM reads WHERE NOT (flag & 1 = 1 AND flag & 2 = 0) GROUP BY rname",
@@ -160,6 +205,8 @@ SQL = {
     f"SELECT chrom, pos, {_INDELS.format('i')} AS insertions, {_INDELS.format('d')} AS deletions FROM g WHERE len(i) > 0 OR len(d) > 0",
     "plp_text": PLP_SQL,
     "baq_apply": f"{CELLS_SQL} SELECT rname, sum(CASE WHEN rname = 'NO' THEN q ELSE greatest(q - (q + i) % 7, 0) END)::BIGINT AS q_sum FROM (SELECT rname, i, (l_suppkey + 3 * i) % 42 AS q FROM (SELECT rname, l_suppkey, unnest(range(n)) AS i FROM reads)) GROUP BY rname",
+    "overlap_rewrite": OVERLAP_SQL,
+    "depth_cap": CAP_SQL,
     "sort_check": f"{CELLS_SQL}, o AS (SELECT l_orderkey * 8 + l_linenumber AS k, min(pos) AS pos FROM reads GROUP BY 1), w AS (SELECT pos, lag(pos) OVER (ORDER BY k) AS ahead FROM o) SELECT count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM w WHERE ahead > pos",
     "read_length_sample": f"{CELLS_SQL} SELECT floor(avg(n))::BIGINT AS mean_length FROM (SELECT n FROM spans ORDER BY read_ord LIMIT 10)",
     "interval_chunks": "SELECT * FROM (VALUES (2700::BIGINT, 0::BIGINT, 2700::BIGINT), (1000000, 0, 333334), (1000000, 333334, 666668), (1000000, 666668, 1000000)) v(length, start, stop)",
@@ -168,8 +215,8 @@ _ALL = (flag_filter, orphan_filter, mapq_filter, ref_span, cigar_operations, reg
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {**{f.__name__: f for f in _ALL}, **file_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **file_queries.SQL}

@@ -37,6 +37,13 @@ def open_path(path: str) -> tuple[fs.FileSystem, str]:
     return files, place
 
 
+def is_bam(path: str) -> bool:
+    """Whether the file begins as a block of compressed alignments does; SAM text doesn't begin so."""
+    files, place = open_path(path)
+    with files.open_input_stream(place, compression=None) as source:
+        return source.read(4) == b"\x1f\x8b\x08\x04"
+
+
 def read_header(path: str) -> list[tuple[int, str, int]]:
     """References of a SAM file; reads no further than its header."""
     files, place = open_path(path)
