@@ -6,7 +6,6 @@ it is aligned where the CIGAR says; its quality is lowered to that, between the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,80 +18,91 @@ GAP_OPEN, GAP_EXTEND, BAND = 0.001, 0.1, 7
 MISMATCH, INSERTED = 0.33333333333, 0.25
 
 
-def posterior(ref: str, query: str, qual: list[int], band: int) -> tuple[list[tuple[int, bool]], list[int]]:
-    """For each read base: (place in `ref`, whether it is a match) of the likeliest state, and its quality."""
-    n, m = len(query), len(ref)
+_CODES = np.full(256, 4, np.int8)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
+#: Cells of forward probabilities that are held at once.
+_HELD_CELLS = 1 << 22
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return _CODES[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)].reshape(len(texts), -1)
+
+
+def posteriors(refs: list[str], queries: list[str], quals: list[list[int]], band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each base of reads of one length on references of one length: place in the reference of the likeliest state,
+    whether that is a match, and its quality. All reads go through the model together, one row of it after the other."""
+    a, b = _codes(queries), _codes(refs)
+    (count, n), m = a.shape, b.shape[1]
     band = max(min(max(m, n), band), abs(m - n))
-    error = [10 ** (-q / 10) for q in qual]
+    error = 10 ** (-np.array(quals, float) / 10)
     start = stop = 1 / (2 * n + 2)
     mm, mi = (1 - 2 * GAP_OPEN) * (1 - stop), GAP_OPEN * (1 - stop)
     im, ii = (1 - GAP_EXTEND) * (1 - stop), GAP_EXTEND * (1 - stop)
     dm, dd = 1 - GAP_EXTEND, GAP_EXTEND
 
-    def emit(i: int, k: int) -> float:
-        a, b = query[i - 1], ref[k - 1]
-        if a not in "ACGT" or b not in "ACGT":
-            return 1.0
-        return 1 - error[i - 1] if a == b else error[i - 1] * MISMATCH
-
-    def row() -> list[list[float]]:
-        return [[0.0] * (m + 2) for _ in range(3)]
+    def emit(i: int, low: int, high: int) -> np.ndarray:
+        """Of base i at the places low to high; all from 1."""
+        base, place, e = a[:, i - 1 : i], b[:, low - 1 : high], error[:, i - 1 : i]
+        return np.where((base == 4) | (place == 4), 1.0, np.where(base == place, 1 - e, e * MISMATCH))
 
-    def bounds(i: int) -> range:
-        return range(max(1, i - band), min(m, i + band) + 1)
+    def bounds(i: int) -> tuple[int, int]:
+        return max(1, i - band), min(m, i + band)
 
-    forward, scale = [row()], [1.0]
+    forward, scale = np.zeros((n + 1, 3, count, m + 2)), np.ones((n + 1, count, 1))
     for i in range(1, n + 1):
-        fm, fi, fd = now = row()
-        gm, gi, gd = forward[-1]
-        total = 0.0
-        for k in bounds(i) if i > 1 else range(1, min(m, band + 1) + 1):
-            if i == 1:
-                fm[k], fi[k] = emit(1, k) * (1 - GAP_OPEN) / m, INSERTED * GAP_OPEN / m
-            else:
-                fm[k] = emit(i, k) * (mm * gm[k - 1] + im * gi[k - 1] + dm * gd[k - 1])
-                fi[k] = INSERTED * (mi * gm[k] + ii * gi[k])
-                fd[k] = mi * fm[k - 1] + dd * fd[k - 1]
-            total += fm[k] + fi[k] + fd[k]
-        forward.append([[x / total for x in state] for state in now])
-        scale.append(total)
-    last = sum(start * (forward[n][0][k] + forward[n][1][k]) for k in bounds(n))
-    states, quals = [], []
-    bm, bi, bd = row()
+        fm, fi, fd = forward[i]
+        gm, gi, gd = forward[i - 1]
+        low, high = bounds(i) if i > 1 else (1, min(m, band + 1))
+        if i == 1:
+            fm[:, low : high + 1] = emit(1, low, high) * (1 - GAP_OPEN) / m
+            fi[:, low : high + 1] = INSERTED * GAP_OPEN / m
+        else:
+            fm[:, low : high + 1] = emit(i, low, high) * (mm * gm[:, low - 1 : high] + im * gi[:, low - 1 : high] + dm * gd[:, low - 1 : high])
+            fi[:, low : high + 1] = INSERTED * (mi * gm[:, low : high + 1] + ii * gi[:, low : high + 1])
+            for k in range(low, high + 1):
+                fd[:, k] = mi * fm[:, k - 1] + dd * fd[:, k - 1]
+        now = forward[i, :, :, low : high + 1]
+        scale[i] = now.sum(axis=(0, 2))[:, None]
+        now /= scale[i]
+    low, high = bounds(n)
+    last = (start * (forward[n, 0, :, low : high + 1] + forward[n, 1, :, low : high + 1])).sum(axis=1, keepdims=True)
+    places, matches, values = np.zeros((count, n), np.int64), np.ones((count, n), bool), np.zeros((count, n), np.int64)
+    bm, bi = np.zeros((2, count, m + 2))
     for i in range(n, 0, -1):
         hm, hi = bm, bi
-        bm, bi, bd = row()
-        for k in reversed(bounds(i)):
-            if i == n:
-                bm[k] = bi[k] = stop / scale[n] / last
-            else:
-                ahead = emit(i + 1, k + 1) * hm[k + 1] if k < m else 0.0
-                bm[k] = ahead * mm + INSERTED * mi * hi[k] + mi * bd[k + 1]
-                bi[k] = ahead * im + INSERTED * ii * hi[k]
-                bd[k] = (ahead * dm + dd * bd[k + 1]) if i > 1 else 0.0
-        if i < n:
-            for state in (bm, bi, bd):
-                for k in bounds(i):
-                    state[k] /= scale[i]
-        total, best, at = 0.0, 0.0, (0, True)
-        for k in bounds(i):
-            for kind, (f, b) in enumerate(((forward[i][0], bm), (forward[i][1], bi))):
-                z = f[k] * b[k]
-                total += z
-                if z > best:
-                    best, at = z, (k - 1, kind == 0)
-        share = best / total if total else 0.0
-        value = int(-4.343 * math.log(1 - share) + 0.499) if share < 1 else 100
-        states.append(at)
-        quals.append(min(value, 99))
-    return states[::-1], quals[::-1]
-
-
-def realigned(pos: int, cigar: list[dict], seq: str, qual: list[int], ref: str, ref_start: int) -> list[int]:
-    """The qualities lowered; as they are for reads that the model doesn't take (skips, no bases, no qualities)."""
-    n = len(seq)
-    if not n or len(qual) != n or qual[0] == 255 or any(op["op"] == "N" for op in cigar):
-        return qual
+        bm, bi, bd = np.zeros((3, count, m + 2))
+        low, high = bounds(i)
+        here = slice(low, high + 1)
+        if i == n:
+            bm[:, here] = bi[:, here] = stop / scale[n] / last
+        else:
+            ahead = np.zeros((count, m + 2))
+            top = min(high, m - 1)
+            if top >= low:
+                ahead[:, low : top + 1] = emit(i + 1, low + 1, top + 1) * hm[:, low + 1 : top + 2]
+            if i > 1:
+                for k in range(high, low - 1, -1):
+                    bd[:, k] = ahead[:, k] * dm + dd * bd[:, k + 1]
+            bm[:, here] = ahead[:, here] * mm + INSERTED * mi * hi[:, here] + mi * bd[:, low + 1 : high + 2]
+            bi[:, here] = ahead[:, here] * im + INSERTED * ii * hi[:, here]
+            bm[:, here] /= scale[i]
+            bi[:, here] /= scale[i]
+        both = np.stack([forward[i, 0, :, here] * bm[:, here], forward[i, 1, :, here] * bi[:, here]], axis=2).reshape(count, -1)
+        best, total = both.argmax(axis=1), both.sum(axis=1)
+        most = both[np.arange(count), best]
+        places[:, i - 1] = np.where(most > 0, low + best // 2 - 1, 0)
+        matches[:, i - 1] = (best % 2 == 0) | (most <= 0)
+        share = np.divide(most, total, out=np.zeros(count), where=total > 0)
+        sure = share >= 1
+        values[:, i - 1] = np.where(sure, 99, np.minimum(99, (-4.343 * np.log(np.where(sure, 0.5, 1 - share)) + 0.499).astype(np.int64)))
+    return places, matches, values
+
+
+Part = tuple[str, int, int]
+
+
+def _part(pos: int, cigar: list[dict], n: int, ref: str, ref_start: int) -> Part | None:
+    """The reference that the read is held against, where that begins, and the band; None without aligned bases."""
     x, y, xb, xe, yb, ye = pos, 0, -1, -1, -1, -1
     for op in cigar:
         kind, size = op["op"], op["len"]
@@ -106,7 +116,7 @@ def realigned(pos: int, cigar: list[dict], seq: str, qual: list[int], ref: str,
         elif kind == "D":
             x += size
     if yb < 0:
-        return qual
+        return None
     band = BAND if abs((xe - xb) - (ye - yb)) <= BAND else abs((xe - xb) - (ye - yb)) + 3
     xb, xe = max(0, xb - yb - band // 2), xe + n - ye + band // 2
     over = xe - xb - n - band
@@ -114,22 +124,50 @@ def realigned(pos: int, cigar: list[dict], seq: str, qual: list[int], ref: str,
         xb += over // 2
         xe -= (xe - xb - n - band) // 2
     part = ref[xb - ref_start : xe - ref_start].upper()
-    if not part:
-        return qual
-    states, values = posterior(part, seq.upper(), qual, band)
-    out, x, y = [0] * n, pos, 0
+    return (part, xb, band) if part else None
+
+
+def _lowered(pos: int, cigar: list[dict], qual: list[int], begin: int, places: np.ndarray, matches: np.ndarray, values: np.ndarray) -> list[int]:
+    own = np.array(qual)
+    out, x, y = np.zeros(len(qual), np.int64), pos, 0
     for op in cigar:
         kind, size = op["op"], op["len"]
         if kind in "M=X":
-            here = np.array([values[i] if states[i] == (x - xb + i - y, True) else 0 for i in range(y, y + size)])
-            out[y : y + size] = np.minimum(np.maximum.accumulate(here), np.maximum.accumulate(here[::-1])[::-1]).tolist()
+            at = slice(y, y + size)
+            here = np.where(matches[at] & (places[at] == np.arange(x - begin, x - begin + size)), values[at], 0)
+            out[at] = np.minimum(np.maximum.accumulate(here), np.maximum.accumulate(here[::-1])[::-1])
             x, y = x + size, y + size
         elif kind in "IS":
-            out[y : y + size] = qual[y : y + size]
+            out[y : y + size] = own[y : y + size]
             y += size
         elif kind == "D":
             x += size
-    return [min(q, b) for q, b in zip(qual, out, strict=True)]
+    return np.minimum(own, out).tolist()
+
+
+Read = tuple[int, list[dict], str, list[int], str, int]
+
+
+def realigned(reads: list[Read]) -> list[list[int]]:
+    """The qualities of reads (pos, cigar, seq, qual, ref, where ref begins), lowered.
+
+    As they are for reads that the model doesn't take: skips, no bases, no qualities, no reference. Reads of one length
+    and band are held against references of one length together.
+    """
+    out = [read[3] for read in reads]
+    groups: dict[tuple[int, int, int], list[tuple[int, str, int]]] = {}
+    for k, (pos, cigar, seq, qual, ref, ref_start) in enumerate(reads):
+        n = len(seq)
+        if n and ref and len(qual) == n and qual[0] != 255 and all(op["op"] != "N" for op in cigar) and (found := _part(pos, cigar, n, ref, ref_start)):
+            groups.setdefault((n, len(found[0]), found[2]), []).append((k, found[0], found[1]))
+    for (n, m, band), members in groups.items():
+        most = max(1, _HELD_CELLS // (3 * (n + 1) * (m + 2)))
+        for at in range(0, len(members), most):
+            some = members[at : at + most]
+            states = posteriors([part for _, part, _ in some], [reads[k][2].upper() for k, _, _ in some], [reads[k][3] for k, _, _ in some], band)
+            for (k, _, begin), *of_read in zip(some, *states, strict=True):
+                out[k] = _lowered(reads[k][0], reads[k][1], reads[k][3], begin, *of_read)
+    return out
 
 
 def realign(reads: DataFrame, chunks: DataFrame, needed: Column, width: int) -> DataFrame:
@@ -140,8 +178,9 @@ def realign(reads: DataFrame, chunks: DataFrame, needed: Column, width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("pos", "cigar", "seq", "qual", "ref_seq", "first")), strict=True)
-            quals = [realigned(pos, cigar, seq or "", qual or [], ref, first * width) if ref else qual for pos, cigar, seq, qual, ref, first in rows]
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("pos", "cigar", "seq", "qual", "ref_seq", "first")), strict=True))
+            lowered = realigned([(pos, cigar, seq or "", qual or [], ref or "", first * width) for pos, cigar, seq, qual, ref, first in rows])
+            quals = [new if row[3] is not None else None for new, row in zip(lowered, rows, strict=True)]
             plain = batch.select(schema.names)
             at = plain.schema.get_field_index("qual")
             yield plain.set_column(at, plain.schema.field(at), pa.array(quals, plain.schema.field(at).type))

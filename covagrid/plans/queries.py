@@ -108,6 +108,17 @@ def baq_apply(spark, sf_dir):
     return apply_bq(reads, F.col("rname") != "NO").groupBy("rname").agg(F.sum(F.aggregate("qual", F.lit(0).cast("long"), lambda t, q: t + q)).alias("q_sum"))
 
 
+def plp_default(spark, sf_dir):
+    """The pileup with what is on by default: base alignment qualities from the model, merged mates, the depth cap."""
+    return _brief(_query(spark, sf_dir, with_reference=True, ignore_overlaps=False, no_baq=False, max_depth=8000).plp(), "ref", "bases", "quals")
+
+
+def baq_realign(spark, sf_dir):
+    """Qualities of all reads after the model alone."""
+    reads = _query(spark, sf_dir, with_reference=True, no_baq=False).usable_reads()
+    return reads.groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("qual", F.lit(0).cast("long"), lambda t, q: t + q)).alias("q_sum"))
+
+
 def overlap_rewrite(spark, sf_dir):
     reads = merge_overlaps(filter_reads(read_view(spark, sf_dir), PileupParams()))
     return reads.groupBy("rname").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("qual", F.lit(0).cast("long"), lambda t, q: t + q)).alias("q_sum"))
@@ -211,7 +222,7 @@ SQL = {
     "read_length_sample": f"{CELLS_SQL} SELECT floor(avg(n))::BIGINT AS mean_length FROM (SELECT n FROM spans ORDER BY read_ord LIMIT 10)",
     "interval_chunks": "SELECT * FROM (VALUES (2700::BIGINT, 0::BIGINT, 2700::BIGINT), (1000000, 0, 333334), (1000000, 333334, 666668), (1000000, 666668, 1000000)) v(length, start, stop)",
 }
-_ALL = (flag_filter, orphan_filter, mapq_filter, ref_span, cigar_operations, region_resolve, region_overlap, cover_explode, depth_covered, depth_min_quality, depth_regions, emit_by_reference, emit_everything, histo_counts, histo_indels, plp_text, baq_apply, overlap_rewrite, depth_cap, sort_check, read_length_sample, interval_chunks)
+_ALL = (flag_filter, orphan_filter, mapq_filter, ref_span, cigar_operations, region_resolve, region_overlap, cover_explode, depth_covered, depth_min_quality, depth_regions, emit_by_reference, emit_everything, histo_counts, histo_indels, plp_text, baq_apply, baq_realign, plp_default, overlap_rewrite, depth_cap, sort_check, read_length_sample, interval_chunks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,6 @@
 """The engine against a plain walk over each read, and against hand-written rows."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from covagrid.operators.depth import cap_depth
 from covagrid.operators.filters import unsorted_reads
 from covagrid.operators.outputs import Histogram, Pileup
 from covagrid.operators.qualities import keeps_first, merge_mates
+from covagrid.operators import realign
 from covagrid.operators.realign import realigned
 from covagrid.params import BY_REFERENCE, EVERYTHING, Flag, PileupParams, parse_flags
 from covagrid.plans.engine import PileupEngine
@@ -237,14 +239,14 @@ def test_quality_tags_apply_where_the_reference_is_known(spark):
 def test_realignment_lowers_what_an_indel_would_explain(spark):
     bases = "ACGGTCATTGCAAGTCCTAGGATCTTACGAGCATGCCTTAAGGCTATCGAT"
     ops = [{"op": "M", "len": 30}]
-    exact = realigned(5, ops, bases[5:35], [30] * 30, bases, 0)
+    exact = realigned([(5, ops, bases[5:35], [30] * 30, bases, 0)])[0]
     assert exact[5:25] == [30] * 20
     shifted = bases[5:28] + bases[30:37]  # lacks two bases near its end, which the CIGAR passes over
-    lowered = realigned(5, ops, shifted, [30] * 30, bases, 0)
+    lowered = realigned([(5, ops, shifted, [30] * 30, bases, 0)])[0]
     assert lowered[5:18] == [30] * 13 and max(lowered[24:]) < 15
     for skip in ([{"op": "M", "len": 10}, {"op": "N", "len": 5}, {"op": "M", "len": 20}],):
-        assert realigned(5, skip, shifted, [30] * 30, bases, 0) == [30] * 30
-    assert realigned(0, ops, "", [], bases, 0) == []
+        assert realigned([(5, skip, shifted, [30] * 30, bases, 0)])[0] == [30] * 30
+    assert realigned([(0, ops, "", [], bases, 0)]) == [[]]
     reads = table(spark, [a_read(0, 0, 5, [("M", 30)], shifted), a_read(1, 1, 5, [("M", 3)], "ACG"), a_read(2, 0, 6, [("M", 2)], "")])
     reference = spark.createDataFrame([("x", bases + bases[:9])], "name string, seq string")
     rows = PileupEngine(spark, PileupParams(min_base_quality=0, bin_width=4), reference).submit(reads, REFS).usable_reads().orderBy("read_ord").collect()
@@ -326,3 +328,88 @@ def test_a_format_of_ones_own(spark):
     reads = table(spark, [a_read(0, 0, 0, [("M", 2)], "AC"), a_read(1, 0, 1, [("M", 2)], "AC", flag=16)])
     rows = PileupEngine(spark, PileupParams(**PLAIN)).submit(reads, REFS).to_df(Strands()).orderBy("pos").collect()
     assert [(r.forward, r.backward) for r in rows] == [(1, 0), (1, 1), (0, 1)]
+
+
+def plain_posterior(ref: str, query: str, qual: list[int], band: int) -> tuple[list[tuple[int, bool]], list[int]]:
+    """For each read base: (place in `ref`, whether it is a match) of the likeliest state, and its quality."""
+    n, m = len(query), len(ref)
+    band = max(min(max(m, n), band), abs(m - n))
+    error = [10 ** (-q / 10) for q in qual]
+    start = stop = 1 / (2 * n + 2)
+    mm, mi = (1 - 2 * realign.GAP_OPEN) * (1 - stop), realign.GAP_OPEN * (1 - stop)
+    im, ii = (1 - realign.GAP_EXTEND) * (1 - stop), realign.GAP_EXTEND * (1 - stop)
+    dm, dd = 1 - realign.GAP_EXTEND, realign.GAP_EXTEND
+
+    def emit(i: int, k: int) -> float:
+        a, b = query[i - 1], ref[k - 1]
+        if a not in "ACGT" or b not in "ACGT":
+            return 1.0
+        return 1 - error[i - 1] if a == b else error[i - 1] * realign.MISMATCH
+
+    def row() -> list[list[float]]:
+        return [[0.0] * (m + 2) for _ in range(3)]
+
+    def bounds(i: int) -> range:
+        return range(max(1, i - band), min(m, i + band) + 1)
+
+    forward, scale = [row()], [1.0]
+    for i in range(1, n + 1):
+        fm, fi, fd = now = row()
+        gm, gi, gd = forward[-1]
+        total = 0.0
+        for k in bounds(i) if i > 1 else range(1, min(m, band + 1) + 1):
+            if i == 1:
+                fm[k], fi[k] = emit(1, k) * (1 - realign.GAP_OPEN) / m, realign.INSERTED * realign.GAP_OPEN / m
+            else:
+                fm[k] = emit(i, k) * (mm * gm[k - 1] + im * gi[k - 1] + dm * gd[k - 1])
+                fi[k] = realign.INSERTED * (mi * gm[k] + ii * gi[k])
+                fd[k] = mi * fm[k - 1] + dd * fd[k - 1]
+            total += fm[k] + fi[k] + fd[k]
+        forward.append([[x / total for x in state] for state in now])
+        scale.append(total)
+    last = sum(start * (forward[n][0][k] + forward[n][1][k]) for k in bounds(n))
+    states, quals = [], []
+    bm, bi, bd = row()
+    for i in range(n, 0, -1):
+        hm, hi = bm, bi
+        bm, bi, bd = row()
+        for k in reversed(bounds(i)):
+            if i == n:
+                bm[k] = bi[k] = stop / scale[n] / last
+            else:
+                ahead = emit(i + 1, k + 1) * hm[k + 1] if k < m else 0.0
+                bm[k] = ahead * mm + realign.INSERTED * mi * hi[k] + mi * bd[k + 1]
+                bi[k] = ahead * im + realign.INSERTED * ii * hi[k]
+                bd[k] = (ahead * dm + dd * bd[k + 1]) if i > 1 else 0.0
+        if i < n:
+            for state in (bm, bi, bd):
+                for k in bounds(i):
+                    state[k] /= scale[i]
+        total, best, at = 0.0, 0.0, (0, True)
+        for k in bounds(i):
+            for kind, (f, b) in enumerate(((forward[i][0], bm), (forward[i][1], bi))):
+                z = f[k] * b[k]
+                total += z
+                if z > best:
+                    best, at = z, (k - 1, kind == 0)
+        share = best / total if total else 0.0
+        value = int(-4.343 * math.log(1 - share) + 0.499) if share < 1 else 100
+        states.append(at)
+        quals.append(min(value, 99))
+    return states[::-1], quals[::-1]
+
+
+def test_reads_together_are_as_reads_alone():
+    """The model over arrays of reads against loops over the cells of one."""
+    rng = random.Random(3)
+    for n in (1, 2, 5, 30, 60):
+        for more in (-4, 0, 7, 12):
+            if (m := n + more) < 1:
+                continue
+            refs = ["".join(rng.choice("ACGTN") for _ in range(m)) for _ in range(6)]
+            reads = ["".join(c if rng.random() < 0.9 else "A" for c in (ref[max(0, more // 2) :] + "ACGT" * 20)[:n]) for ref in refs]
+            quals = [[rng.randint(0, 41) for _ in range(n)] for _ in refs]
+            places, matches, values = realign.posteriors(refs, reads, quals, 7)
+            for k in range(len(refs)):
+                states, wanted = plain_posterior(refs[k], reads[k], quals[k], 7)
+                assert list(zip(places[k].tolist(), matches[k].tolist(), strict=True)) == states and values[k].tolist() == wanted
