@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covagrid.params import Flag
@@ -81,8 +81,10 @@ def merge_mates(a: dict, b: dict) -> None:
 def merge_overlaps(reads: DataFrame) -> DataFrame:
     """`reads` with the qualities of overlapping mates merged.
 
-    Only properly paired reads whose mate may overlap take part; they are dealt out by (tid, qname) and read in order, one
-    waiting read at a time, so a name with very many reads takes no more memory than one with two. The rest passes by.
+    Only properly paired reads whose mate may overlap take part. A waiting read is always the one ahead in order of its
+    (tid, qname), so a read that overlaps neither neighbour there is as it was: neighbours are compared in the JVM, and only
+    reads that meet one are dealt out and read in order, one waiting at a time. A name with very many reads so takes
+    no more Python memory than one with two. The rest passes by.
     """
     eligible = (
         (F.col("flag").bitwiseAND(F.lit(int(Flag.PROPER_PAIR))) != 0)
@@ -128,6 +130,9 @@ def merge_overlaps(reads: DataFrame) -> DataFrame:
             row["seq"] = row["raw"]
         return pa.RecordBatch.from_pylist([{n: row[n] for n in kinds.names} for row in rows], kinds)
 
-    paired = reads.filter(F.coalesce(eligible, F.lit(False))).withColumn("waits", F.coalesce(waits, F.lit(False)))
-    merged = paired.repartition("tid", "qname").sortWithinPartitions("tid", "qname", "read_ord").mapInArrow(run, schema)
-    return reads.filter(~F.coalesce(eligible, F.lit(False))).unionByName(merged)
+    eligible = F.coalesce(eligible, F.lit(False))
+    order = Window.partitionBy("tid", "qname").orderBy("read_ord")
+    meets = F.coalesce(F.lag("stop").over(order) > F.col("pos"), F.lit(False)) | F.coalesce(F.lead("pos").over(order) < F.col("stop"), F.lit(False))
+    paired = reads.filter(eligible).withColumns({"waits": F.coalesce(waits, F.lit(False)), "meets": meets})
+    met = paired.filter("meets").drop("meets").repartition("tid", "qname").sortWithinPartitions("tid", "qname", "read_ord")
+    return reads.filter(~eligible).unionByName(paired.filter("not meets").drop("meets", "waits")).unionByName(met.mapInArrow(run, schema))
