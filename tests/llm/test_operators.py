@@ -17,7 +17,7 @@ from covagrid.llm import common, decontaminate, html_extract, license_scan, pack
 from covagrid.llm.common import shared_dir
 from covagrid.llm.decontaminate import align, benchmark_matches, codes, decontaminated, gram_hashes, normal
 from covagrid.llm.line_dedup import dedup_lines
-from covagrid.llm.near_copies import near_dedup
+from covagrid.llm.near_copies import Bands, near_dedup
 from covagrid.llm.queries import RULES, queries, tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -726,8 +726,9 @@ def test_one_of_each_group_stays(spark):
     assert Counter(r.row_no in (2, 3, 5, 7) for r in rows) == {True: 3}
 
 
-def test_pipeline_keeps_one_of_similar_texts(spark):
-    """Against every pair's five-word Jaccard similarity."""
+@pytest.mark.parametrize("bands", [Bands(), Bands(tile_rows=2), Bands(tile_hashes=700)])
+def test_pipeline_keeps_one_of_similar_texts(spark, bands):
+    """Against every pair's five-word Jaccard similarity, with groups in one tile and in many."""
     rng = random.Random(11)
 
     def grams(text):
@@ -750,5 +751,5 @@ def test_pipeline_keeps_one_of_similar_texts(spark):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
-    assert {r.doc_id for r in near_dedup(frame(spark, texts)).collect()} == set(root)
+    assert {r.doc_id for r in near_dedup(frame(spark, texts), bands).collect()} == set(root)
     assert len(set(root)) < simhash.simhash_dedup(frame(spark, texts)).count()
