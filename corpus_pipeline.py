@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles the smallest doc_id stays.
 
-    Blank texts are one group. Anchors of a covering code can't reach that similarity (see `near_copies`).
+    Blank texts are one group. Anchors of a covering code on a wide SimHash nominate, exact similarity confirms.
     """
     return near_dedup(docs)
 

@@ -1,20 +1,25 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles.
-
-Texts with the same set are one. MinHash bands nominate pairs: two sets of similarity s share a band of `rows` least
-hashes with probability s ** rows. Pairs that meet in a band are confirmed by the exact similarity of their whole sets, in
-two rounds: first each member of a band with the band's smallest key, then the members that the links found so far
-leave in different components. Bands full of copies of one text so take no more comparisons than members. No pairs are
-written: members are dealt in tiles of bounded size, which a task compares, and only links come out.
-
-Why not SimHash anchors: at similarity 0.8 the count vectors of two sets have a cosine of 8 / 9, so each of 64 bits differs
-with a probability of 0.15, 9.7 bits on average and 18 or more in one pair of 180. Anchors that find those within 17 bits
-have to compare six blocks of 10 bits within 2 bits, 56 of 1024 values, so that 29 % of all pairs of texts meet.
+"""Near copies by the Jaccard similarity of their sets of word shingles, found by SimHash with anchors of a covering code.
+
+Texts with the same set are one. The stage's fingerprint is a wide SimHash of the set: `prints` words of 64 bits, cut in
+blocks as `simhash.Anchors` says, each with a Hamming code of its own. A fingerprint lives at its anchor in every block.
+Those that meet at an anchor and differ in few of the bits that they carry along are nominated, and the exact similarity of
+their whole sets confirms them, in two rounds: first each member of a nominated cluster with the cluster's smallest key, then
+the members that the links found so far leave in different components. Clusters of copies of one text so take no more
+comparisons than members. No pairs are written: members are dealt in tiles of bounded size, which a task compares, and
+only links come out.
+
+Why so wide: at similarity 0.8 the count vectors of two sets have a cosine of 8 / 9, so each bit differs with a probability
+of 0.1515, 9.7 of 64 bits on average and 18 or more in one pair of 180. Anchors that find those within 17 of 64 bits
+have to compare six blocks of 10 bits within 2 bits, 56 of 1024 values, so that 29 % of all pairs of texts meet. With 16 bits
+to a block, 15 of them under the code, such a pair shares a block's anchor with a probability of 0.1265, unlike texts with
+2 ** -12. All 88 blocks miss it with a probability of 7e-6, and 2 % of all pairs of texts meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +29,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covagrid.llm.common import byte_texts, cut, keep_numbered, map_batches, sized
-from covagrid.llm.simhash import SEED, components
+from covagrid.llm.simhash import SEED, Anchors, components
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Sets of similarity 0.8 share no band with a probability of 7e-6, more similar ones with less.
+    """Of two sets of similarity 0.8 no block's anchor is the same with a probability of 7e-6, of more similar ones with less.
 
-    A side of a tile has on average at most `tile_rows` members and `tile_hashes` hashes, unless one set has more; a task
-    holds two sides. They change no result.
+    `near` are the bits of the first `carried` words in which nominated sets may differ: 29 on average at 0.8, with a
+    standard deviation of 5. A side of a tile has on average at most `tile_rows` members and `tile_hashes` hashes, unless
+    one set has more; a task holds two sides. They change no result.
     """
 
     similarity: float = 0.8
     words: int = 5
-    bands: int = 30
-    rows: int = 5
+    prints: int = 22
+    anchors: Anchors = Anchors(threshold=0, blocks=4)
+    carried: int = 3
+    near: int = 56
     tile_rows: int = 1024
     tile_hashes: int = 1 << 20
 
@@ -54,15 +64,69 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
 
 
-def band_hashes(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """A hash for each band of the set; none for the empty set."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    flip, factor, mix = np.random.default_rng(SEED).integers(0, 1 << 64, (3, bands.bands * bands.rows), np.uint64) | np.uint64(1)
-    least = np.full(len(flip), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 4096):
-        least = np.minimum(least, ((hashes[start : start + 4096, None] ^ flip) * factor).min(axis=0))
-    return (least * mix).reshape(bands.bands, bands.rows).sum(axis=1, dtype=np.uint64).view(np.int64)
+@lru_cache
+def _mixers(prints: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (2, prints), np.uint64) | np.uint64(1)
+
+
+def wide_print(hashes: np.ndarray, prints: int) -> np.ndarray:
+    """SimHash of a set in `prints` words: the bits that over half the mixed hashes have.
+
+    Each hash counts twice with different bits. With one vote each, 4 and 5 shingles differ in 0.19 of the bits, not 0.12.
+    """
+    (flip, factor), twice, counts = _mixers(prints), np.concatenate([hashes, ~hashes * _ODD]), np.zeros(64 * prints, np.int64)
+    for start in range(0, len(twice), 255):  # so many fit a byte
+        mixed = (twice[start : start + 255, None] ^ flip) * factor
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _ODD
+        mixed ^= mixed >> np.uint64(32)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(twice), bitorder="little").view(np.uint64)
+
+
+def _apart(words: list[np.ndarray], a, b) -> np.ndarray:
+    """In how many bits the fingerprints at `a` and `b` differ."""
+    return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
+
+
+def clusters(anchor: np.ndarray, words: list[np.ndarray], near: int, most: int = 256) -> list[np.ndarray]:
+    """Of each run of equal anchors the components of two or more members that differences of up to `near` bits link.
+
+    Runs of more than `most` members are grown member by member, so that a run of copies takes a step for each.
+    """
+    bounds = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
+    sizes, out, root = np.diff(bounds), [], {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    ends = np.repeat(bounds[1:], sizes)
+    at, step = np.flatnonzero(np.repeat(sizes <= most, sizes)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < ends[at]]
+        linked = at[_apart(words, at, at + step) <= near]
+        for x, y in zip(linked.tolist(), (linked + step).tolist(), strict=True):
+            root[top(x)] = top(y)
+    found: dict[int, list[int]] = {}
+    for x in list(root):
+        found.setdefault(top(x), []).append(x)
+    out += map(np.array, found.values())
+    for g in np.flatnonzero(sizes > most):
+        left = np.arange(bounds[g], bounds[g + 1])
+        while len(left):
+            grown, left, k = [left[0]], left[1:], 0
+            while k < len(grown) and len(left):
+                linked = _apart(words, left, grown[k]) <= near
+                if linked.any():
+                    grown.extend(left[linked])
+                    left = left[~linked]
+                k += 1
+            if len(grown) > 1:
+                out.append(np.array(grown))
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -71,18 +135,56 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _keyed(docs: DataFrame, bands: Bands) -> DataFrame:
-    """row (the whole row), doc_id, key (a hash of the set), size (of the set) and bands of every row."""
+    """row (the whole row), doc_id, key (a hash of the set), size (of the set) and print (its fingerprint's bytes) of every row."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(x, bands.words) for x in byte_texts(batch.column("text"))]
         keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), _lists([band_hashes(s, bands) for s in sets])], ["row", "doc_id", "key", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s, bands.prints).tobytes() for s in sets], pa.binary())], ["row", "doc_id", "key", "size", "print"])
 
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = T.StructType([f for f in whole.schema.fields if f.name != "text"]).add("key", T.LongType()).add("size", T.LongType()).add("bands", T.ArrayType(T.LongType()))
+    schema = T.StructType([f for f in whole.schema.fields if f.name != "text"]).add("key", T.LongType()).add("size", T.LongType()).add("print", T.BinaryType())
     return map_batches(whole, each, schema)
 
 
+def _clustered(nodes: DataFrame, bands: Bands) -> DataFrame:
+    """(band, key) of the members of each cluster at an anchor; band is a hash of its members, so that equal ones are one.
+
+    Sets too small for any other to be similar are left out; their fingerprints have few ones and would crowd anchors. A task
+    holds the rows of one anchor, 40 bytes for a member.
+    """
+    names = [f"w{k}" for k in range(bands.carried)]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "key", *names)])
+
+    def spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, bands.prints)
+        keys = batch.column("key").to_numpy()
+        for w in range(bands.prints):
+            index, anchor, _ = bands.anchors.of(words[:, w])
+            yield pa.RecordBatch.from_arrays([pa.array(w << 48 | anchor), pa.array(keys[index]), *(pa.array(words[index, k].view(np.int64)) for k in range(bands.carried))], schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(anchor: np.ndarray, keys: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            members = [np.sort(keys[x]) for x in clusters(anchor, [w.view(np.uint64) for w in words], bands.near)] if len(anchor) else []
+            if members:
+                marks = np.array([xxhash.xxh64_intdigest(m.tobytes(), SEED) for m in members], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, [len(m) for m in members])), pa.array(np.concatenate(members))], ["band", "key"])
+
+        held = [np.empty(0, np.int64)] * len(schema)
+        for batch in batches:
+            rows = [np.concatenate([old, batch.column(n).to_numpy()]) for old, n in zip(held, schema.fieldNames(), strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            yield from whole(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows]
+        yield from whole(*held)
+
+    # a fingerprint is a few bytes but makes many rows: adaptive execution would leave them to a task or two
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism)
+    able = nodes.filter((F.col("size") > 0) & (F.col("size") >= F.lit(bands.similarity) * (F.col("size") + 1)))
+    dealt = map_batches(able.select("key", "print").repartition(tasks, "key"), spread, schema)
+    return cut(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "band long, key long"), "clusters").distinct()
+
+
 def _sides(members: DataFrame, group: str, bands: Bands) -> DataFrame:
     """(group, sides) of the groups that need more than one side."""
     needed = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(bands.tile_rows)), F.ceil(F.sum("size") / F.lit(bands.tile_hashes))).cast("int")
@@ -90,16 +192,16 @@ def _sides(members: DataFrame, group: str, bands: Bands) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, rows: DataFrame, bands: Bands) -> DataFrame:
-    """(key, bands, set) of each of the keys `nodes`, from the text of one of its rows."""
+    """(key, set) of each of the keys `nodes`, from the text of one of its rows."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(x, bands.words) for x in byte_texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("bands"), _lists(sets)], ["key", "bands", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(sets)], ["key", "set"])
 
     # a text may have any number of copies, so they are aggregated first; Catalyst would push a semi join below that
     numbers = rows.groupBy("key").agg(F.min("row_no").alias("row_no")).join(nodes, "key")
-    texts = rows.select("row_no", "key", "bands", F.col("row.text").cast("string").alias("text"))
-    return cut(keep_numbered(texts, numbers, "nominated", each, "key long, bands array<long>, set array<long>"), "sets")
+    texts = rows.select("row_no", "key", F.col("row.text").cast("string").alias("text"))
+    return cut(keep_numbered(texts, numbers, "nominated", each, "key long, set array<long>"), "sets")
 
 
 @dataclass
@@ -114,20 +216,21 @@ class _Member:
 def tile_links(members: list[_Member], similarity: float, band: int | None) -> list[tuple[int, int]]:
     """Links (a, b) of similar members: of side 0 with those of side 1, of side 2 with each other.
 
-    Only one for each two roots that they join. With a band, pairs that share an earlier one are left to that.
+    Only one for each two roots that they join. With a band, pairs that share a smaller one are left to that.
     """
     sides, sizes = np.array([m.side for m in members]), np.array([len(m.set) for m in members])
     label, out = np.unique([m.root for m in members], return_inverse=True)[1], []
-    held = np.stack([m.bands for m in members]) if band is not None else None
     for x, one in enumerate(members):
         if one.side == 1:
             continue
         fits = (sides == 1) if one.side == 0 else (sides == 2) & (np.arange(len(members)) > x)
         # the smaller of two similar sets has at least that share of the larger
         fits &= (label != label[x]) & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]))
-        if held is not None:
-            fits &= one.bands[(held == one.bands).argmax(axis=1)] == band
         at = np.flatnonzero(fits)
+        if band is not None and len(at):
+            marks, ends = np.concatenate([members[k].bands for k in at]), np.cumsum([len(members[k].bands) for k in at])
+            common = np.where(np.isin(marks, one.bands), marks, np.iinfo(np.int64).max)
+            at = at[np.minimum.reduceat(common, np.r_[0, ends[:-1]]) == band]
         if not len(at):
             continue
         joined = np.concatenate([members[k].set for k in at])
@@ -185,17 +288,19 @@ def _square_tiles(members: DataFrame, bands: Bands) -> DataFrame:
 
 def _roots(rows: DataFrame, bands: Bands) -> DataFrame:
     """(node, root) of the keys that have links."""
-    replicas = rows.select("key", "size", "bands").dropDuplicates(["key"]).select("key", "size", F.explode("bands").alias("band"))
-    least = F.min("key").over(Window.partitionBy("band"))
-    met = cut(replicas.withColumn("a", least).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1").select("band", "a", "key", "size"), "met")
+    nodes = cut(rows.select("key", "size", "print").dropDuplicates(["key"]), "nodes")
+    replicas = _clustered(nodes, bands).join(nodes.select("key", "size"), "key")
+    met = cut(replicas.withColumn("a", F.min("key").over(Window.partitionBy("band"))).select("band", "a", "key", "size"), "met")
     sets = _sets(met.select("key").distinct(), rows, bands)
     stars = cut(met.filter("a < key").select("a", F.col("key").alias("b"), "size").distinct(), "nominated")
-    links = _confirmed(_star_tiles(stars, bands), sets, bands.similarity)
+    links = _confirmed(_star_tiles(stars, bands), sets.withColumn("bands", F.array().cast("array<long>")), bands.similarity)
     found = components(links)
-    # the smallest keys of bands have been held against all; of the others, those of one component are settled
+    # the smallest keys of clusters have been held against all; of the others, those of one component are settled
     rooted = met.filter("a < key").join(found, met["key"] == found["node"], "left").select("band", "key", "size", F.coalesce("root", "key").alias("root"))
     rooted = rooted.withColumns({"low": F.min("root").over(Window.partitionBy("band")), "high": F.max("root").over(Window.partitionBy("band"))}).filter("low < high").select("band", "key", "size", "root")
-    more = _confirmed(_square_tiles(cut(rooted, "open"), bands), sets, bands.similarity)
+    still = cut(rooted, "open")
+    marked = sets.join(still.groupBy("key").agg(F.collect_list("band").alias("bands")), "key")
+    more = _confirmed(_square_tiles(still, bands), marked, bands.similarity)
     return components(links.unionByName(more))
 
 

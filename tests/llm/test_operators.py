@@ -17,7 +17,7 @@ from covagrid.llm import common, decontaminate, html_extract, license_scan, pack
 from covagrid.llm.common import shared_dir
 from covagrid.llm.decontaminate import align, benchmark_matches, codes, decontaminated, gram_hashes, normal
 from covagrid.llm.line_dedup import dedup_lines
-from covagrid.llm.near_copies import Bands, near_dedup
+from covagrid.llm.near_copies import Bands, clusters, near_dedup, wide_print
 from covagrid.llm.queries import RULES, queries, tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -753,3 +753,40 @@ def test_pipeline_keeps_one_of_similar_texts(spark, bands):
                 root = [low if r == high else r for r in root]
     assert {r.doc_id for r in near_dedup(frame(spark, texts), bands).collect()} == set(root)
     assert len(set(root)) < simhash.simhash_dedup(frame(spark, texts)).count()
+
+
+def wide_anchors(fingerprint, bands):
+    return np.concatenate([bands.anchors.of(fingerprint[w : w + 1])[1] for w in range(bands.prints)])
+
+
+@pytest.mark.parametrize("a, b, both", [(4, 5, 4), (9, 9, 8), (8, 10, 8), (90, 90, 80), (450, 450, 400)])
+def test_similar_sets_share_an_anchor(a, b, both):
+    rng, bands, equal = np.random.default_rng(a + b), Bands(), []
+    for _ in range(150):
+        hashes = rng.integers(0, 1 << 64, a + b - both, np.uint64)
+        left, right = wide_print(hashes[:a], bands.prints), wide_print(hashes[a - both :], bands.prints)
+        equal.append(wide_anchors(left, bands) == wide_anchors(right, bands))
+        assert equal[-1].any() and np.bitwise_count(left ^ right)[: bands.carried].sum() <= bands.near
+    assert (1 - np.mean(equal)) ** equal[0].size < 3e-5  # 7e-6 but for the sample
+
+
+@pytest.mark.parametrize("most", [0, 3, 256])
+def test_clusters_are_components_of_each_anchor(most):
+    rng = random.Random(5)
+    anchor = sorted(rng.randrange(12) for _ in range(60))
+    prints = [rng.choice((0, (1 << 128) - 1)) ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 9))) for _ in anchor]
+    words = [np.array([p >> 64 * k & (1 << 64) - 1 for p in prints], np.uint64) for k in (0, 1)]
+    wanted = set()
+    for value in set(anchor):
+        at = [k for k in range(len(anchor)) if anchor[k] == value]
+        label = classes([prints[k] for k in at], at, 8)
+        wanted |= {frozenset(k for k in at if label[k] == first) for first in label.values()}
+    assert {frozenset(x.tolist()) for x in clusters(np.array(anchor), words, 8, most)} == {x for x in wanted if len(x) > 1}
+
+
+def test_fingerprints_nominate_what_the_pipeline_confirms(spark):
+    """Texts that no anchor brings together near enough stay apart, however similar."""
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words)]
+    assert [r.doc_id for r in near_dedup(frame(spark, texts)).collect()] == [0]
+    assert sorted(r.doc_id for r in near_dedup(frame(spark, texts), Bands(near=-1)).collect()) == [0, 1]
