@@ -2,11 +2,12 @@
 
 Texts with the same set are one. The stage's fingerprint is a wide SimHash of the set: `prints` words of 64 bits, cut in
 blocks as `simhash.Anchors` says, each with a Hamming code of its own. A fingerprint lives at its anchor in every block.
-Those that meet at an anchor and differ in few of the bits that they carry along are nominated, and the exact similarity of
-their whole sets confirms them, in two rounds: first each member of a nominated cluster with the cluster's smallest key, then
-the members that the links found so far leave in different components. Clusters of copies of one text so take no more
-comparisons than members. No pairs are written: members are dealt in tiles of bounded size, which a task compares, and
-only links come out.
+Those that meet at an anchor, differ in few of the bits that they carry along and are of sizes that similar sets have are
+nominated, and the exact similarity of their whole sets confirms them, in rounds: first each member with the smallest of the
+smallest keys of its clusters, one row a member whatever the anchors at which it meets others; in clusters of several tiles
+that this leaves open each member with the cluster's smallest key; last the members that the links found so far leave in
+different components. Clusters of copies of one text so take no more comparisons than members. No pairs are written:
+members are dealt in tiles of bounded size, which a task compares, and only links come out.
 
 Why so wide: at similarity 0.8 the count vectors of two sets have a cosine of 8 / 9, so each bit differs with a probability
 of 0.1515, 9.7 of 64 bits on average and 18 or more in one pair of 180. Anchors that find those within 17 of 64 bits
@@ -89,11 +90,18 @@ def _apart(words: list[np.ndarray], a, b) -> np.ndarray:
     return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
 
 
-def clusters(anchor: np.ndarray, words: list[np.ndarray], near: int, most: int = 256) -> list[np.ndarray]:
+def _fit(a, b, similarity: float) -> np.ndarray:
+    """Whether sets of sizes `a` and `b` can be similar: the smaller has at least that share of the larger."""
+    return np.minimum(a, b) >= similarity * np.maximum(a, b)
+
+
+def clusters(anchor: np.ndarray, words: list[np.ndarray], near: int, most: int = 256, set_sizes: np.ndarray | None = None, similarity: float = 0.0) -> list[np.ndarray]:
     """Of each run of equal anchors the components of two or more members that differences of up to `near` bits link.
 
-    Runs of more than `most` members are grown member by member, so that a run of copies takes a step for each.
+    With the sets' sizes only members whose sets can be similar are linked. Runs of more than `most` members are grown
+    member by member, so that a run of copies takes a step for each.
     """
+    held = np.ones(len(anchor), np.int64) if set_sizes is None else set_sizes
     bounds = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
     sizes, out, root = np.diff(bounds), [], {}
 
@@ -108,6 +116,7 @@ def clusters(anchor: np.ndarray, words: list[np.ndarray], near: int, most: int =
         step += 1
         at = at[at + step < ends[at]]
         linked = at[_apart(words, at, at + step) <= near]
+        linked = linked[_fit(held[linked], held[linked + step], similarity)]
         for x, y in zip(linked.tolist(), (linked + step).tolist(), strict=True):
             root[top(x)] = top(y)
     found: dict[int, list[int]] = {}
@@ -119,7 +128,7 @@ def clusters(anchor: np.ndarray, words: list[np.ndarray], near: int, most: int =
         while len(left):
             grown, left, k = [left[0]], left[1:], 0
             while k < len(grown) and len(left):
-                linked = _apart(words, left, grown[k]) <= near
+                linked = (_apart(words, left, grown[k]) <= near) & _fit(held[left], held[grown[k]], similarity)
                 if linked.any():
                     grown.extend(left[linked])
                     left = left[~linked]
@@ -148,27 +157,30 @@ def _keyed(docs: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _clustered(nodes: DataFrame, bands: Bands) -> DataFrame:
-    """(band, key) of the members of each cluster at an anchor; band is a hash of its members, so that equal ones are one.
+    """(band, key, size) of the members of each cluster at an anchor; band is a hash of its members, so that equal ones are one.
 
     Sets too small for any other to be similar are left out; their fingerprints have few ones and would crowd anchors. A task
-    holds the rows of one anchor, 40 bytes for a member.
+    holds the rows of one anchor, 48 bytes for a member. The size goes along: a text may be a member at every anchor, and
+    to look it up later would take a join of all these rows.
     """
     names = [f"w{k}" for k in range(bands.carried)]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "key", *names)])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor", "key", "size", *names)])
 
     def spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(-1, bands.prints)
-        keys = batch.column("key").to_numpy()
+        keys, sizes = batch.column("key").to_numpy(), batch.column("size").to_numpy()
         for w in range(bands.prints):
             index, anchor, _ = bands.anchors.of(words[:, w])
-            yield pa.RecordBatch.from_arrays([pa.array(w << 48 | anchor), pa.array(keys[index]), *(pa.array(words[index, k].view(np.int64)) for k in range(bands.carried))], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([pa.array(w << 48 | anchor), pa.array(keys[index]), pa.array(sizes[index]), *(pa.array(words[index, k].view(np.int64)) for k in range(bands.carried))], schema.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def whole(anchor: np.ndarray, keys: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            members = [np.sort(keys[x]) for x in clusters(anchor, [w.view(np.uint64) for w in words], bands.near)] if len(anchor) else []
+        def whole(anchor: np.ndarray, keys: np.ndarray, sizes: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found = clusters(anchor, [w.view(np.uint64) for w in words], bands.near, set_sizes=sizes, similarity=bands.similarity) if len(anchor) else []
+            members = [x[np.argsort(keys[x])] for x in found]
             if members:
-                marks = np.array([xxhash.xxh64_intdigest(m.tobytes(), SEED) for m in members], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, [len(m) for m in members])), pa.array(np.concatenate(members))], ["band", "key"])
+                marks = np.array([xxhash.xxh64_intdigest(keys[m].tobytes(), SEED) for m in members], np.uint64).view(np.int64)
+                all_ = np.concatenate(members)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(marks, [len(m) for m in members])), pa.array(keys[all_]), pa.array(sizes[all_])], ["band", "key", "size"])
 
         held = [np.empty(0, np.int64)] * len(schema)
         for batch in batches:
@@ -181,8 +193,8 @@ def _clustered(nodes: DataFrame, bands: Bands) -> DataFrame:
     # a fingerprint is a few bytes but makes many rows: adaptive execution would leave them to a task or two
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism)
     able = nodes.filter((F.col("size") > 0) & (F.col("size") >= F.lit(bands.similarity) * (F.col("size") + 1)))
-    dealt = map_batches(able.select("key", "print").repartition(tasks, "key"), spread, schema)
-    return cut(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "band long, key long"), "clusters").distinct()
+    dealt = map_batches(able.select("key", "size", "print").repartition(tasks, "key"), spread, schema)
+    return cut(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "band long, key long, size long"), "clusters").distinct()
 
 
 def _sides(members: DataFrame, group: str, bands: Bands) -> DataFrame:
@@ -224,8 +236,7 @@ def tile_links(members: list[_Member], similarity: float, band: int | None) -> l
         if one.side == 1:
             continue
         fits = (sides == 1) if one.side == 0 else (sides == 2) & (np.arange(len(members)) > x)
-        # the smaller of two similar sets has at least that share of the larger
-        fits &= (label != label[x]) & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]))
+        fits &= (label != label[x]) & _fit(sizes, sizes[x], similarity)
         at = np.flatnonzero(fits)
         if band is not None and len(at):
             marks, ends = np.concatenate([members[k].bands for k in at]), np.cumsum([len(members[k].bands) for k in at])
@@ -286,19 +297,34 @@ def _square_tiles(members: DataFrame, bands: Bands) -> DataFrame:
     return dealt.select(F.xxhash64("band", F.least("cell", "other"), F.greatest("cell", "other")).alias("tile"), side.alias("side"), "key", "root", "band")
 
 
+def _least(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, size of b): each key with the least of its bands' smallest keys, so that a key has one partner at most."""
+    return met.filter("a < key").groupBy(F.col("key").alias("b")).agg(F.min("a").alias("a"), F.first("size").alias("size")).select("a", "b", "size")
+
+
+def _open(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, key, size, root) of the bands whose members are not all in one of the components (node, root)."""
+    rooted = met.join(found, met["key"] == found["node"], "left").select("band", "key", "size", F.coalesce("root", "key").alias("root"))
+    ends = {"low": F.min("root").over(Window.partitionBy("band")), "high": F.max("root").over(Window.partitionBy("band"))}
+    return cut(rooted.withColumns(ends).filter("low < high").select("band", "key", "size", "root"), "open")
+
+
 def _roots(rows: DataFrame, bands: Bands) -> DataFrame:
     """(node, root) of the keys that have links."""
     nodes = cut(rows.select("key", "size", "print").dropDuplicates(["key"]), "nodes")
-    replicas = _clustered(nodes, bands).join(nodes.select("key", "size"), "key")
-    met = cut(replicas.withColumn("a", F.min("key").over(Window.partitionBy("band"))).select("band", "a", "key", "size"), "met")
+    met = cut(_clustered(nodes, bands).withColumn("a", F.min("key").over(Window.partitionBy("band"))).select("band", "a", "key", "size"), "met")
     sets = _sets(met.select("key").distinct(), rows, bands)
-    stars = cut(met.filter("a < key").select("a", F.col("key").alias("b"), "size").distinct(), "nominated")
-    links = _confirmed(_star_tiles(stars, bands), sets.withColumn("bands", F.array().cast("array<long>")), bands.similarity)
-    found = components(links)
-    # the smallest keys of clusters have been held against all; of the others, those of one component are settled
-    rooted = met.filter("a < key").join(found, met["key"] == found["node"], "left").select("band", "key", "size", F.coalesce("root", "key").alias("root"))
-    rooted = rooted.withColumns({"low": F.min("root").over(Window.partitionBy("band")), "high": F.max("root").over(Window.partitionBy("band"))}).filter("low < high").select("band", "key", "size", "root")
-    still = cut(rooted, "open")
+    bare = sets.withColumn("bands", F.array().cast("array<long>"))
+    links = _confirmed(_star_tiles(cut(_least(met), "nominated"), bands), bare, bands.similarity)
+    # members of one component are settled; tiles of a whole band grow with the square of their number, so that bands of
+    # several tiles are first held against their smallest key
+    still = _open(met, components(links))
+    wide = _sides(still, "band", bands)
+    if not wide.isEmpty():
+        first = F.min(F.struct("key", "root")).over(Window.partitionBy("band"))
+        stars = still.join(wide.select("band"), "band").withColumn("first", first).filter("first.root <> root").select(F.col("first.key").alias("a"), F.col("key").alias("b"), "size")
+        links = links.unionByName(_confirmed(_star_tiles(cut(stars.distinct(), "nominated"), bands), bare, bands.similarity))
+        still = _open(met, components(links))
     marked = sets.join(still.groupBy("key").agg(F.collect_list("band").alias("bands")), "key")
     more = _confirmed(_square_tiles(still, bands), marked, bands.similarity)
     return components(links.unionByName(more))

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from covagrid.llm import exact_dedup as exact
-from covagrid.llm import common, decontaminate, html_extract, license_scan, packing, quality, simhash, url_filter, warc
+from covagrid.llm import common, decontaminate, html_extract, license_scan, near_copies, packing, quality, simhash, url_filter, warc
 from covagrid.llm.common import shared_dir
 from covagrid.llm.decontaminate import align, benchmark_matches, codes, decontaminated, gram_hashes, normal
 from covagrid.llm.line_dedup import dedup_lines
@@ -790,3 +790,39 @@ def test_fingerprints_nominate_what_the_pipeline_confirms(spark):
     texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words)]
     assert [r.doc_id for r in near_dedup(frame(spark, texts)).collect()] == [0]
     assert sorted(r.doc_id for r in near_dedup(frame(spark, texts), Bands(near=-1)).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("most", [1, 256])
+def test_clusters_link_no_sets_of_sizes_too_far_apart(most):
+    """80, 100 and 125 are a chain of 0.8; 63, 157 and 10 are too far from each of them."""
+    zero = [np.zeros(6, np.uint64)]
+    found = clusters(np.zeros(6, np.int64), zero, 8, most, np.array([80, 100, 125, 63, 157, 10]), 0.8)
+    assert [sorted(x.tolist()) for x in found] == [[0, 1, 2]]
+    assert [sorted(x.tolist()) for x in clusters(np.zeros(6, np.int64), zero, 8, most)] == [[0, 1, 2, 3, 4, 5]]
+
+
+@pytest.mark.parametrize("tile_rows", [1024, 20])
+def test_texts_that_meet_at_many_anchors_take_a_row_in_the_first_round(spark, monkeypatch, tile_rows):
+    """A group that shares much but seldom 0.8, against every pair: the right rows stay, whatever the number of meetings."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 9)):
+            words[at] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    grams = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    written, real = [], near_copies.cut
+    monkeypatch.setattr(near_copies, "cut", lambda df, tag: (written.append((tag, real(df, tag))), written[-1][1])[1])
+    assert {r.doc_id for r in near_dedup(frame(spark, texts), Bands(tile_rows=tile_rows)).collect()} == set(label)
+    first = next(df for tag, df in written if tag == "nominated")
+    assert 0 < first.count() <= len(texts)
+    met = next(df for tag, df in written if tag == "met")
+    assert met.count() > 10 * len(texts)  # each a row of a join before
